@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, langid, mixing, quality, simhash, topk, warc
+from corpusloom.llm import bpe, class_lm, exact_dedup, langid, mixing, quality, simhash, substring_dedup, topk, warc
+
+#: The public tokenizer that op9 is held against.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -43,8 +51,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_exact_topk, op3_source_mixing, op4_language_id, op6_warc, op7_quality_crf, op8_exact_dedup)
+    f.__name__: f for f in (op1_simhash_dedup, op2_exact_topk, op3_source_mixing, op4_language_id, op5_substring_dedup, op6_warc, op7_quality_crf, op8_exact_dedup, op9_bpe, op10_class_lm)
 }
 
 _BASE32 = " || ".join(
@@ -77,6 +95,16 @@ taken AS (SELECT c.doc_id, sum(passes * n + greatest(0, least(n, quota - passes
     FROM c JOIN u ON c.source IS NOT DISTINCT FROM u.source GROUP BY c.doc_id)
 SELECT d.doc_id, d.size, u.ss AS source_size, u.target, coalesce(taken.taken, 0)::BIGINT AS taken
 FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source LEFT JOIN taken ON d.doc_id = taken.doc_id""",
+    "op5_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(len(w) - 19)) AS p FROM d WHERE len(w) >= 20),
+g AS (SELECT s.doc_id, s.p, md5(array_to_string(d.w[s.p + 1 : s.p + 20], ' ')) AS h FROM s JOIN d USING (doc_id)),
+r AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS n FROM g) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM r),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM x ANTI JOIN c USING (doc_id, i) GROUP BY x.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
     "op6_warc": f"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
