@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, langid, mixing, simhash
+from corpusloom.llm import bpe, exact_dedup, langid, mixing, simhash
 from corpusloom.llm.common import discard, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,12 +39,19 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs).select(*COLUMNS)
 
 
+def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded_ok of each document of the mix."""
+    import public_tokenizers
+
+    return bpe.encode_checked(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """One row of docs for each id in kept; of rows that repeat an id, one stays."""
     return docs.join(kept.distinct(), "doc_id", "left_semi").select(*COLUMNS)
 
 
-STAGES = [("language", stage_language), ("exact", stage_exact), ("simhash", stage_simhash), ("mix", stage_mix)]
+STAGES = [("language", stage_language), ("exact", stage_exact), ("simhash", stage_simhash), ("mix", stage_mix), ("bpe", stage_bpe)]
 ORACLE_SQL = None
 
 
