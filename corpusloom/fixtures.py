@@ -37,14 +37,17 @@ VIEWS: dict[str, str] = {
 }
 
 
+_registered: list = []
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the tables below sf_dir."""
-    for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    for v, sql in VIEWS.items():
-        spark.sql(sql).createOrReplaceTempView(v)
-        if v == name:
-            break
+    """A table or view over the tables below sf_dir; temporary views are made once for each session and folder."""
+    if _registered != [spark, sf_dir] or not spark.catalog.tableExists("texts"):
+        for table in TABLES:
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        for v, sql in VIEWS.items():
+            spark.sql(sql).createOrReplaceTempView(v)
+        _registered[:] = [spark, sf_dir]
     return spark.table(name)
 
 

@@ -158,7 +158,7 @@ SELECT topic, label, mentions, round(mentions * 0.5, 2)::DOUBLE AS salience FROM
 )
 def p4_population(spark, sf_dir):
     topics = view(spark, sf_dir, "clustered").select("paper_id", F.col("paper_cluster_id").alias("topic"))
-    mentions = spark.sql("SELECT p_partkey AS paper_id, p_brand || ' ' || p_type AS label FROM part")
+    mentions = view(spark, sf_dir, "grid").select("paper_id", F.col("method").alias("label"))
     return phase4.population(mentions, topics, "#[1-3]").withColumn("salience", F.col("salience").cast("double")).drop("signature")
 
 
