@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm.chunks import at_chunks, buckets_of, load_words, number_of_buckets, pack, squeeze, to_buckets, unsqueeze
-from corpusloom.llm.common import materialize
+from corpusloom.llm.chunks import at_chunks, buckets_of, load_words, number_of_buckets, pack, squeeze_codes, to_buckets, unsqueeze, unsqueeze_codes
+
+#: Words of a chunk; few chunks mean few repeats of a word in what is shuffled.
+CHUNK_WORDS = 1 << 21
 
 # The byte-level pre-tokenizer's published pattern, its white space spelled out.
 SPACES = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -91,7 +93,7 @@ def encode_words(buckets: DataFrame, spec: str) -> DataFrame:
                     for w, e in zip(new, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
                         known[w] = np.array(e.ids, np.uint32).tobytes()
                 ids = [known[w] for w in words]
-                answers.append(squeeze(np.array([len(ids), *(len(x) // 4 for x in ids)], np.uint32).tobytes() + b"".join(ids)))
+                answers.append(squeeze_codes(np.concatenate([np.array([len(ids), *(len(x) // 4 for x in ids)], np.uint32), np.frombuffer(b"".join(ids), np.uint32)])))
             yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("bucket"), pa.array(answers, pa.binary())], ["chunk", "bucket", "answer"])
 
     n = max(1, int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -105,12 +107,14 @@ def word_ids(row: dict, answers: dict[int, bytes], n_buckets: int) -> list[np.nd
     out: list = [None] * len(words)
     at = 0
     for bucket in sorted(answers):
-        raw = unsqueeze(answers[bucket], np.uint32)
+        raw = unsqueeze_codes(answers[bucket])
         n = int(raw[0])
         ends = np.cumsum(raw[1 : n + 1], dtype=np.int64) + n + 1
         for i, (lo, hi) in enumerate(zip(np.r_[n + 1, ends[:-1]].tolist(), ends.tolist())):
             out[order[at + i]] = raw[lo:hi]
         at += n
+    if at != len(words):
+        raise RuntimeError("the texts or their partitions changed between two reads; write them as a table first")
     return out
 
 
@@ -129,12 +133,13 @@ def encode(docs: DataFrame, tokenizer_path: str, finish, schema: str) -> DataFra
             made.append(splitter(shared.value))
         return made[0](text)
 
-    packed = materialize(pack(rows, split), "bpe-chunks")
-    n = number_of_buckets(packed.count())
+    # both sides split the texts again, which costs less than a table of all positions on disk
+    packed = pack(rows, split, CHUNK_WORDS, by_content=True)
+    n = number_of_buckets(rows.count() // 4096)
     answers = encode_words(to_buckets(packed, n), spec)
 
     def one(row: dict, found: dict[int, bytes]) -> pa.Table:
-        codes, ends = unsqueeze(row["codes"], np.uint32), unsqueeze(row["ends"], np.int64)
+        codes, ends = unsqueeze_codes(row["codes"]), unsqueeze(row["ends"], np.int64)
         texts = [codes[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())] if len(ends) else []
         return finish(row["doc_ids"], texts, word_ids(row, found, n), pieces(shared.value), load_words(row["words"]))
 

@@ -34,6 +34,16 @@ def unsqueeze(data: bytes, dtype=None):
     return out if dtype is None else np.frombuffer(out, dtype)
 
 
+def squeeze_codes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, a plane of bytes after the other; the planes of small numbers vanish."""
+    return squeeze(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unsqueeze_codes(data: bytes) -> np.ndarray:
+    planes = unsqueeze(data, np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def dump_words(words: list[bytes]) -> bytes:
     return squeeze(np.array([len(words), *map(len, words)], np.uint32).tobytes() + b"".join(words))
 
@@ -46,10 +56,12 @@ def load_words(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def pack(docs: DataFrame, split: Callable[[str], list[bytes]], chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def pack(docs: DataFrame, split: Callable[[str], list[bytes]], chunk_words: int = CHUNK_WORDS, by_content: bool = False) -> DataFrame:
     """Rows of PACKED from docs (doc_id long, text, learn boolean); null text is empty.
 
     A chunk closes at the first document that brings it to ``chunk_words``.
+    It is named by its place, or if by_content by a hash of its dictionary, so that
+    two evaluations of docs agree on names exactly where they agree on chunks.
     ``ends`` holds each document's end among ``codes``; ``counts`` how often each
     word is in documents to learn from.
     """
@@ -70,7 +82,13 @@ def pack(docs: DataFrame, split: Callable[[str], list[bytes]], chunk_words: int
                     if len(p) <= len(number) // 8:
                         np.add.at(counts, p, 1)
             codes = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-            row = (base + made, ids, learn, squeeze(np.cumsum(sizes)), squeeze(codes), dump_words(list(number)), squeeze(counts.astype(np.int32)))
+            order = np.argsort(-np.bincount(codes, minlength=len(number)), kind="stable")  # frequent words get small numbers
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            listed = list(number)
+            words = dump_words([listed[i] for i in order.tolist()])
+            chunk = xxhash.xxh64_intdigest(words) - (1 << 63) if by_content else base + made
+            row = (chunk, ids, learn, squeeze(np.cumsum(sizes)), squeeze_codes(place[codes]), words, squeeze(counts[order].astype(np.int32)))
             made += 1
             types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["chunk", "doc_ids", "learn", "ends", "codes", "words", "counts"])
@@ -93,9 +111,10 @@ def pack(docs: DataFrame, split: Callable[[str], list[bytes]], chunk_words: int
 
 
 def buckets_of(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's bucket, and the words' order by bucket."""
+    """Each word's bucket, and the words' order by bucket, sorted within."""
     bucket = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(n)).astype(np.int64)
-    return bucket, np.argsort(bucket, kind="stable")
+    sorted_ = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    return bucket, sorted_[np.argsort(bucket[sorted_], kind="stable")]
 
 
 def number_of_buckets(n_chunks: int) -> int:
@@ -128,6 +147,7 @@ def at_chunks(packed: DataFrame, answers: DataFrame, finish: Callable[[dict, dic
     """finish(chunk's row, {bucket: answer}) for every chunk; answers: (chunk, bucket, answer)."""
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        return finish(left.to_pylist()[0], dict(zip(right["bucket"].to_pylist(), right["answer"].to_pylist())))
+        found = dict(zip(right["bucket"].to_pylist(), right["answer"].to_pylist()))
+        return pa.concat_tables([finish(row, found) for row in left.to_pylist()])  # chunks of one name have one dictionary
 
     return packed.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "answer").groupBy("chunk")).applyInArrow(meet, schema)
