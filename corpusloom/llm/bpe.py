@@ -100,26 +100,32 @@ def encode_words(buckets: DataFrame, spec: str) -> DataFrame:
     return buckets.select("bucket", "chunk", "words").repartition(n, "bucket").mapInArrow(run, "chunk long, bucket int, answer binary")
 
 
-def word_ids(row: dict, answers: dict[int, bytes], n_buckets: int) -> list[np.ndarray]:
-    """The ids of each of a chunk's words, in the order of their numbers."""
-    words = load_words(row["words"])
-    _, order = buckets_of(words, n_buckets)
-    out: list = [None] * len(words)
-    at = 0
-    for bucket in sorted(answers):
-        raw = unsqueeze_codes(answers[bucket])
-        n = int(raw[0])
-        ends = np.cumsum(raw[1 : n + 1], dtype=np.int64) + n + 1
-        for i, (lo, hi) in enumerate(zip(np.r_[n + 1, ends[:-1]].tolist(), ends.tolist())):
-            out[order[at + i]] = raw[lo:hi]
-        at += n
-    if at != len(words):
-        raise RuntimeError("the texts or their partitions changed between two reads; write them as a table first")
-    return out
+class WordIds:
+    """The ids of a chunk's words: of word i, ids[start[i]:start[i] + size[i]]."""
+
+    def __init__(self, words: list[bytes], answers: dict[int, bytes], n_buckets: int):
+        self.words = words
+        _, order = buckets_of(words, n_buckets)
+        raw = [unsqueeze_codes(answers[k]) for k in sorted(answers)]  # a count, as many lengths, and the ids
+        sizes = np.concatenate([r[1 : int(r[0]) + 1] for r in raw]).astype(np.int64) if raw else np.zeros(0, np.int64)
+        if len(sizes) != len(words):
+            raise RuntimeError("the texts or their partitions changed between two reads; write them as a table first")
+        self.ids = np.concatenate([r[int(r[0]) + 1 :] for r in raw]).astype(np.int32) if raw else np.zeros(0, np.int32)
+        self.size, self.start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        self.size[order], self.start[order] = sizes, np.cumsum(sizes) - sizes
+
+    def of_word(self, i: int) -> np.ndarray:
+        return self.ids[self.start[i] : self.start[i] + self.size[i]]
+
+    def of_text(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of a run of words."""
+        sizes = self.size[codes]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.start[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, finish, schema: str) -> DataFrame:
-    """Encode whole texts; finish(doc_ids, codes of each document, ids of each word, pieces, words) makes each chunk's rows.
+    """Encode whole texts; finish(doc_ids, codes of each document, the words' ids, pieces) makes each chunk's rows.
 
     tokenizer_path is read on the driver; executors get its content.
     """
@@ -141,7 +147,7 @@ def encode(docs: DataFrame, tokenizer_path: str, finish, schema: str) -> DataFra
     def one(row: dict, found: dict[int, bytes]) -> pa.Table:
         codes, ends = unsqueeze_codes(row["codes"]), unsqueeze(row["ends"], np.int64)
         texts = [codes[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())] if len(ends) else []
-        return finish(row["doc_ids"], texts, word_ids(row, found, n), pieces(shared.value), load_words(row["words"]))
+        return finish(row["doc_ids"], texts, WordIds(load_words(row["words"]), found, n), pieces(shared.value))
 
     return at_chunks(packed, answers, one, schema)
 
@@ -149,9 +155,8 @@ def encode(docs: DataFrame, tokenizer_path: str, finish, schema: str) -> DataFra
 def encode_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids array<int>) for each input row; null and empty texts have no ids."""
 
-    def finish(doc_ids, texts, ids, piece, words):
-        out = [np.concatenate([ids[c] for c in t]).astype(np.int32) if len(t) else np.zeros(0, np.int32) for t in texts]
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.list_(pa.int32()))})
+    def finish(doc_ids, texts, ids, piece):
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array([ids.of_text(t) for t in texts], pa.list_(pa.int32()))})
 
     return encode(docs, tokenizer_path, finish, "doc_id long, ids array<int>")
 
@@ -159,9 +164,11 @@ def encode_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def encode_checked(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_ok) for each input row; decoded_ok: the ids' pieces make the text again."""
 
-    def finish(doc_ids, texts, ids, piece, words):
-        out = [np.concatenate([ids[c] for c in t]).astype(np.int32) if len(t) else np.zeros(0, np.int32) for t in texts]
-        same = [b"".join([piece[i] for i in x.tolist()]) == b"".join([words[c] for c in t.tolist()]) for x, t in zip(out, texts)]
+    def finish(doc_ids, texts, ids, piece):
+        out, same = [], []
+        for t in texts:
+            out.append(ids.of_text(t))
+            same.append(b"".join([piece[i] for i in out[-1].tolist()]) == b"".join([ids.words[c] for c in t.tolist()]))
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array([len(x) for x in out], pa.int64()), "ids": pa.array(out, pa.list_(pa.int32())), "decoded_ok": pa.array(same, pa.bool_())})
 
     return encode(docs, tokenizer_path, finish, "doc_id long, n_tokens long, ids array<int>, decoded_ok boolean")
@@ -192,14 +199,15 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     ignored.
     """
 
-    def finish(doc_ids, texts, ids, piece, words):
-        shown = [",".join(map(str, w.tolist())) for w in ids]
-        number = np.array([len(w) for w in ids], np.int64)
-        back = [b"".join([piece[i] for i in w.tolist()]) for w in ids]
+    def finish(doc_ids, texts, ids, piece):
+        each = [ids.of_word(i).tolist() for i in range(len(ids.words))]
+        shown = [",".join(map(str, w)) for w in each]
+        back = [b"".join([piece[i] for i in w]) for w in each]
+        del each
         counts, first, second = [], [], []
         for t in texts:
             at = t.tolist()
-            counts.append(int(number[t].sum()) if at else 0)
+            counts.append(int(ids.size[t].sum()) if at else 0)
             first.append(hashlib.sha256(",".join([shown[c] for c in at]).encode()).hexdigest())
             second.append(hashlib.sha256(b"".join([back[c] for c in at]).decode("utf-8", "replace").encode()).hexdigest())
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())})

@@ -94,18 +94,22 @@ def pack(docs: DataFrame, split: Callable[[str], list[bytes]], chunk_words: int
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["chunk", "doc_ids", "learn", "ends", "codes", "words", "counts"])
 
         for b in batches:
-            for doc_id, text, use in zip(*(b.column(i).to_pylist() for i in range(3))):
-                ids.append(doc_id)
-                learn.append(bool(use))
-                words = split(text) if text else []
-                parts.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
-                total += len(words)
-                if total >= chunk_words:
-                    yield out()
-                    number.clear()
-                    ids, learn, parts, total = [], [], [], 0
+            for lo in range(0, b.num_rows, 256):  # few texts at a time as Python strings
+                part = b.slice(lo, 256)
+                for doc_id, text, use in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    ids.append(doc_id)
+                    learn.append(bool(use))
+                    words = split(text) if text else []
+                    parts.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+                    total += len(words)
+                    if total >= chunk_words:
+                        yield out()
+                        number.clear()
+                        ids, learn, parts, total = [], [], [], 0
         if ids:
             yield out()
+        number.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text", "learn").mapInArrow(run, PACKED)
 
@@ -148,6 +152,8 @@ def at_chunks(packed: DataFrame, answers: DataFrame, finish: Callable[[dict, dic
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found = dict(zip(right["bucket"].to_pylist(), right["answer"].to_pylist()))
-        return pa.concat_tables([finish(row, found) for row in left.to_pylist()])  # chunks of one name have one dictionary
+        out = pa.concat_tables([finish(row, found) for row in left.to_pylist()])  # chunks of one name have one dictionary
+        pa.default_memory_pool().release_unused()  # workers live on, beside other stages' heaps
+        return out
 
     return packed.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "answer").groupBy("chunk")).applyInArrow(meet, schema)
