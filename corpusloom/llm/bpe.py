@@ -139,8 +139,8 @@ def encode(docs: DataFrame, tokenizer_path: str, finish, schema: str) -> DataFra
             made.append(splitter(shared.value))
         return made[0](text)
 
-    # both sides split the texts again, which costs less than a table of all positions on disk
-    packed = pack(rows, split, CHUNK_WORDS, by_content=True)
+    # the shuffle by chunk feeds both sides: texts are split once, and positions are on disk once
+    packed = pack(rows, split, CHUNK_WORDS, by_content=True).repartition("chunk")
     n = number_of_buckets(rows.count() // 4096)
     answers = encode_words(to_buckets(packed, n), spec)
 

@@ -130,7 +130,7 @@ def to_buckets(packed: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for chunk, blob, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for chunk, blob, counts in zip(*(b.column(c).to_pylist() for c in ("chunk", "words", "counts"))):
                 words, counts = load_words(blob), unsqueeze(counts, np.int32)
                 bucket, order = buckets_of(words, n)
                 cuts = np.searchsorted(bucket[order], np.arange(n + 1))
@@ -144,7 +144,8 @@ def to_buckets(packed: DataFrame, n: int) -> DataFrame:
                     }
                 )
 
-    return packed.select("chunk", "words", "counts").mapInArrow(run, "bucket int, chunk long, words binary, counts binary")
+    # all columns, so that a shuffle of packed by chunk can serve both this and at_chunks
+    return packed.mapInArrow(run, "bucket int, chunk long, words binary, counts binary")
 
 
 def at_chunks(packed: DataFrame, answers: DataFrame, finish: Callable[[dict, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
