@@ -21,6 +21,8 @@ from corpusloom.llm.common import discard, materialize, shared_dir
 
 MAGIC = "WARC/1."
 CRLF = "\r\n"
+#: Revisits up to this many (some 50 MB) are broadcast to the writers; beyond, pages are shuffled by id.
+BROADCAST_REVISITS = 500_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -38,8 +40,12 @@ def warc_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """(record): the text of a WARC record for each page, without the blank lines that end it."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     p = p.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload"))
-    first = p.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").drop("n")
-    revisits = p.select("page_id", "digest").join(first, "digest").where("not (page_id <=> first_id)").select(F.col("page_id").alias("rid"), F.col("digest").alias("rdigest"), "first_id").distinct()
+    digests = materialize(p.select("page_id", "digest", "bytes"), "warc-digests")
+    first = digests.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").drop("n")
+    revisits = digests.select("page_id", "digest").join(first, "digest").where("not (page_id <=> first_id)").select(F.col("page_id").alias("rid"), F.col("digest").alias("rdigest"), "first_id").distinct()
+    revisits = materialize(revisits, "warc-revisits")
+    if revisits.count() <= BROADCAST_REVISITS:
+        revisits = F.broadcast(revisits)
     p = p.join(revisits, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
     line = lambda *x: F.concat(*[v if isinstance(v, Column) else F.lit(v) for v in x], F.lit(CRLF))
     again = F.col("first_id").isNotNull()
@@ -68,10 +74,10 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, row, piece) for the bytes between one magic and the next; row orders a byte range's pieces."""
+    """(file, block, row, piece) for the bytes between one magic and the next; file is a hash of the path, row orders a byte range's pieces."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
     return raw.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("piece")
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("piece")
     )
 
 
