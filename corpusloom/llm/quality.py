@@ -252,12 +252,12 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_ou
     fold = crc_mod(F.col("doc_id"), folds)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").where(fold != held_out).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     bounded = _bounded(marks, options.get("sample_docs", 4000))
-    field = train(rows.join(bounded, "doc_id").select("doc_id", "text", "quality"), **options)
+    field = train(rows.join(F.broadcast(bounded), "doc_id").select("doc_id", "text", "quality"), **options)
     return score_documents(rows.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "text"), field)
 
 
 def _bounded(marks: DataFrame, sample_docs: int) -> DataFrame:
-    """Labels of the sample only, so that the join with texts has a small side."""
+    """Labels of the sample only, about 2 * sample_docs of each: a side that stays small at any size of the corpus."""
     sizes = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}  # a row for each label
     share = F.lit(0)
     for k, n in sizes.items():
