@@ -6,10 +6,11 @@ it as Parquet in the shared folder and reads it again as the next stage's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpusloom.llm import bpe, exact_dedup, langid, mixing, simhash
+from corpusloom.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from corpusloom.llm.common import discard, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,13 +26,13 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    return _keep(docs, exact_dedup.exact_dedup(docs).where("kept").select("doc_id"))
+    return docs.join(exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
 
 
-def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each near-duplicate component."""
-    found = simhash.simhash_dedup(docs)
-    return _keep(docs, found.where("doc_id <=> component_id").select("doc_id"))
+def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row of the smallest id of each component of five-word shingle similarity 0.8 and more."""
+    found = near_dedup.near_dedup(docs.select("doc_id", "text", _row_key(F.sha2(exact_dedup.normalised(F.col("text")), 256)).alias("key")))
+    return _keep(docs, found.where("kept").select("key"))
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +47,19 @@ def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_checked(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _row_key(text_sha256: Column) -> Column:
+    """Tells rows apart by id, null included, and by text up to white space; rows that agree in both are interchangeable."""
+    return F.concat(text_sha256, F.lit(":"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
+
+
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of docs for each id in kept; of rows that repeat an id, one stays."""
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """One row of docs for each key in kept; of rows that repeat a key, one stays."""
+    keyed = docs.select(*COLUMNS, _row_key(F.sha2(exact_dedup.normalised(F.col("text")), 256)).alias("key"))
+    one = Window.partitionBy("key").orderBy(F.lit(0))
+    return keyed.join(kept.distinct(), "key", "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select(*COLUMNS)
 
 
-STAGES = [("language", stage_language), ("exact", stage_exact), ("simhash", stage_simhash), ("mix", stage_mix), ("bpe", stage_bpe)]
+STAGES = [("language", stage_language), ("exact", stage_exact), ("near", stage_near), ("mix", stage_mix), ("bpe", stage_bpe)]
 ORACLE_SQL = None
 
 
