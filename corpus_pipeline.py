@@ -26,7 +26,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    return docs.join(exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    return _keep(docs, exact_dedup.exact_dedup(docs).where("kept").select(_row_key(F.col("text_sha256")).alias("key")))
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

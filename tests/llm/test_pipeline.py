@@ -13,6 +13,19 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).repartition(3)
 
 
+def test_exact_stage_keeps_null_and_repeated_ids(spark):
+    rows = [(None, "only here"), (None, "twice"), (None, "twice"), (1, "a b"), (1, "a  b"), (1, "other text"), (2, "other text"), (3, "a b"), (0, "other text"), (4, None)]
+    got = collections.Counter((r.doc_id, " ".join((r.text or "").split())) for r in corpus_pipeline.stage_exact(spark, table(spark, rows), "").collect())
+    assert got == collections.Counter([(None, "only here"), (None, "twice"), (1, "a b"), (0, "other text"), (4, "")])
+
+
+def test_near_stage_keeps_null_and_repeated_ids(spark):
+    far = ["one two three four five six", "seven eight nine ten eleven twelve", "p q r s t u v"]
+    rows = [(None, far[0]), (None, far[1]), (5, far[2]), (5, far[2].upper()), (5, far[2]), (6, far[0].upper())]
+    got = collections.Counter((r.doc_id, r.text.lower()) for r in corpus_pipeline.STAGES[2][1](spark, table(spark, rows), "").collect())
+    assert got == collections.Counter([(6, far[0]), (None, far[1]), (5, far[2])])
+
+
 def test_near_stage_drops_copies_of_similarity_080(spark):
     rng = random.Random(3)
     rows = []
