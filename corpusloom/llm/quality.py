@@ -172,22 +172,17 @@ def fit_curve(quality: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(max(beta[0], 0.01)), float(beta[1])
 
 
-def train(labelled: DataFrame, sample_docs: int = 4000) -> LineField:
-    """A field from rows (doc_id, text, quality); quality other than 0 and 1 is left out.
+def train(labelled: DataFrame, sizes: dict[int, int], rates: dict[int, float]) -> LineField:
+    """A field from rows (doc_id, text, quality) of a sample of the labels; whole texts.
 
-    Learns from a bounded sample of about ``sample_docs`` documents, half of each label
-    where there are enough, by a hash of the id; whole texts. The curve
+    sizes: of each label 0 and 1 in all; rates: the share of each that was drawn. The curve
     weights documents back to the labels' shares. With no rows, or one label only, the
     field knows nothing and scores are the share of good labels (1 if there are none).
     """
     field = LineField(3 * len(FEATURES))
-    rows = labelled.where("quality in (0, 1)").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    sizes = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}  # two rows
     if len(sizes) < 2:
         field.curve = (0.01, 9.0 if 0 not in sizes else -9.0)
         return field
-    limit = {k: int(min(1.0, sample_docs / 2 / n) * (1 << 30)) for k, n in sizes.items()}
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("quality") == 1, limit[1]).otherwise(limit[0]))
 
     def run(batches):
         for b in batches:
@@ -196,7 +191,7 @@ def train(labelled: DataFrame, sample_docs: int = 4000) -> LineField:
                 {"quality": b.column("quality"), "x": pa.array([f[0].astype(np.float32).tobytes() for f in found], pa.binary()), "lengths": pa.array([f[1].tobytes() for f in found], pa.binary()), "doc_id": b.column("doc_id")}
             )
 
-    got = sample.select("doc_id", "text", "quality").mapInArrow(run, "quality int, x binary, lengths binary, doc_id long").orderBy("doc_id", "x").collect()  # sample_docs rows
+    got = labelled.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "quality int, x binary, lengths binary, doc_id long").orderBy("doc_id", "x").collect()  # the sample
     if len({r["quality"] for r in got}) < 2:
         field.curve = (0.01, float(np.log((sizes[1] + 1) / (sizes[0] + 1))))
         return field
@@ -213,8 +208,7 @@ def train(labelled: DataFrame, sample_docs: int = 4000) -> LineField:
     y2 = np.where((np.repeat(label, n_lines) == 0) & (good > 0.5) & (good > worst + 0.2), 1, y)
     field.fit(x, y2, n_lines, weight, rounds=100)
     field.curve = fit_curve(field.quality(x, lengths, n_lines), label)
-    drawn = np.bincount(label, minlength=2) / np.array([sizes[0], sizes[1]])
-    field.curve = (field.curve[0], field.curve[1] + float(np.log(drawn[0] / drawn[1])))
+    field.curve = (field.curve[0], field.curve[1] + float(np.log(rates[0] / rates[1])))
     return field
 
 
@@ -240,26 +234,34 @@ def score_documents(docs: DataFrame, field: LineField, threshold: float = 0.3) -
     return docs.mapInArrow(run, ddl)
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, **options) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample_docs: int = 4000) -> DataFrame:
     """Learn from labelled rows outside one fold of ids and score every document.
 
     Returns a row for each input row: doc_id, held_out, score, predicted. Empty and
     null texts are scored as one empty line. Null doc_ids are scored, not learned
     from and not held out. Of repeated labels of an id the smallest counts; null
-    labels do not count.
+    labels do not count, nor do those other than 0 and 1. Learns from about ``sample_docs``
+    labels, half of each where there are enough, by a hash of the id.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold = crc_mod(F.col("doc_id"), folds)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").where(fold != held_out).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    bounded = _bounded(marks, options.get("sample_docs", 4000))
-    field = train(rows.join(F.broadcast(bounded), "doc_id").select("doc_id", "text", "quality"), **options)
+    marks = marks.where("quality in (0, 1)")
+    sizes = _sizes(marks)
+    bounded = _bounded(marks, sizes, sample_docs)
+    drawn = _sizes(bounded)
+    labelled = rows.join(F.broadcast(bounded), "doc_id").select("doc_id", "text", "quality")
+    field = train(labelled, sizes, {k: drawn.get(k, 0) / n for k, n in sizes.items()})
     return score_documents(rows.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "text"), field)
 
 
-def _bounded(marks: DataFrame, sample_docs: int) -> DataFrame:
-    """Labels of the sample only, about 2 * sample_docs of each: a side that stays small at any size of the corpus."""
-    sizes = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}  # a row for each label
+def _sizes(marks: DataFrame) -> dict[int, int]:
+    return {int(r["quality"]): r["count"] for r in marks.groupBy("quality").count().collect()}  # a row for each label
+
+
+def _bounded(marks: DataFrame, sizes: dict[int, int], sample_docs: int) -> DataFrame:
+    """Labels of the sample only, about half of sample_docs of each: a side that stays small at any size of the corpus."""
     share = F.lit(0)
     for k, n in sizes.items():
-        share = F.when(F.col("quality") == k, int(min(1.0, 2 * sample_docs / n) * (1 << 30))).otherwise(share)
+        share = F.when(F.col("quality") == k, int(min(1.0, sample_docs / 2 / n) * (1 << 30))).otherwise(share)
     return marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
