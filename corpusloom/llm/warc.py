@@ -81,13 +81,20 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _blank_line(data: str) -> Column:
+    """Byte position of the first blank line of a binary column, 0 if none; the whole is searched only where its start has none."""
+    at = lambda part: f"locate('\\r\\n\\r\\n', decode({part}, 'ISO-8859-1'))"
+    start = at(f"substring({data}, 1, 65536)")
+    return F.expr(f"CASE WHEN {start} > 0 THEN {start} WHEN octet_length({data}) > 65536 THEN {at(data)} WHEN {data} IS NOT NULL THEN 0 END")
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """(file, off, next, size, …) of every place where a record might start; header fields are null where none parses.
 
     ``whole`` tells that the record lies in its piece, and payload_bytes and
     payload_digest are those of its payload.
     """
-    head_end = F.expr("locate('\\r\\n\\r\\n', decode(substring(piece, 1, 65536), 'ISO-8859-1'))")
+    head_end = _blank_line("piece")
     head = F.expr("decode(substring(piece, 1, greatest(0, head_end + 1)), 'ISO-8859-1')")
     field = lambda name: F.nullif(F.regexp_extract("head", rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)\r\n", 1), F.lit(""))
     p = _pieces(spark, path).withColumn("len", F.octet_length("piece")).withColumn("head_end", head_end).withColumn("head", head)
@@ -97,7 +104,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     p = p.withColumn("whole", F.col("record_end") <= F.col("len"))
     block = F.expr("substring(piece, cast(block_at + 1 as int), cast(length as int))")
     p = p.withColumn("body", F.when(F.col("whole"), block))
-    http = F.when(F.coalesce(field("Content-Type"), F.lit("")).startswith("application/http"), F.expr("locate('\\r\\n\\r\\n', decode(substring(body, 1, 65536), 'ISO-8859-1'))")).otherwise(F.lit(0))
+    http = F.when(F.coalesce(field("Content-Type"), F.lit("")).startswith("application/http"), _blank_line("body")).otherwise(F.lit(0))
     p = p.withColumn("http", http).withColumn("payload", F.when(F.col("http") > 0, F.expr("substring(body, http + 4)")).otherwise(F.col("body")))
     narrow = p.select(
         "file", "block", "row", "len", "length", "block_at", "record_end", "whole",
@@ -138,6 +145,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     at = materialize(candidates(spark, path), "warc-candidates")
     links = at.where("length is not null and off >= 0").select("file", "off", "next")
     records = at.join(reachable(links), ["file", "off"], "left_semi")
+    # the last record's two line breaks may be missing, nothing else
+    ends = at.groupBy("file").agg(F.max(F.col("off") + len(MAGIC) + F.col("len")).alias("size")).where("size > 0")
+    chains = records.groupBy("file").agg(F.max("next").alias("stop"))
+    broken = ends.join(chains, "file", "left").where("stop is null or stop < size or stop > size + 4").count()
+    if broken:
+        raise ValueError(f"{broken} archives below {path}: the chain of records does not end at the end of the file")
     split = records.where("not whole")
     fields = ["type", "id", "refers", "declared", "payload_bytes", "payload_digest", "file", "off"]
     # records with magic inside: their pieces are read again and joined, in order
@@ -156,7 +169,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     joined = joined.withColumn("bytes", F.expr(f"aggregate(pieces, cast('' as binary), (acc, x) -> if(octet_length(acc) = 0, x.piece, concat(acc, {magic}, x.piece)))"))
     full = split.drop("payload_bytes", "payload_digest").join(joined, ["file", "off"])
     full = full.withColumn("body", F.expr("substring(bytes, cast(block_at + 1 as int), cast(length as int))"))
-    full = full.withColumn("http", F.when(F.coalesce("kind", F.lit("")).startswith("application/http"), F.expr("locate('\\r\\n\\r\\n', decode(substring(body, 1, 65536), 'ISO-8859-1'))")).otherwise(0))
+    full = full.withColumn("http", F.when(F.coalesce("kind", F.lit("")).startswith("application/http"), _blank_line("body")).otherwise(0))
     full = full.withColumn("payload", F.when(F.col("http") > 0, F.expr("substring(body, http + 4)")).otherwise(F.col("body")))
     full = full.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
     return records.where("whole").select(*fields).union(full.select(*fields))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corpusloom.llm import quality
+from corpusloom.llm import quality, warc
 
 
 def test_quality_sample_and_prior_come_from_all_labels(spark, monkeypatch):
@@ -15,3 +15,19 @@ def test_quality_sample_and_prior_come_from_all_labels(spark, monkeypatch):
     quality.classify_quality(table, labels, sample_docs=100)
     assert 60 <= curve["n"] <= 140  # both samples of about 50
     assert curve["prior"] == pytest.approx(np.log(9), abs=0.7)
+
+
+def test_warc_reads_headers_longer_than_64_kb(spark):
+    rows = [(1, "u", "first"), (2, "http://x/" + "y" * 100_000, "second"), (3, "u", "third")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.warc_round_trip(table).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(1, 5), (2, 6), (3, 5)]
+
+
+def test_warc_raises_where_a_chain_breaks(spark, tmp_path):
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\nhello\r\n\r\n"
+    (tmp_path / "good.warc").write_bytes(record % 5 * 2)
+    assert warc.read_warc(spark, str(tmp_path)).count() == 2
+    (tmp_path / "bad.warc").write_bytes(record % 5 + record % 7 + record % 5)
+    with pytest.raises(ValueError, match="1 archives"):
+        warc.read_warc(spark, str(tmp_path))
