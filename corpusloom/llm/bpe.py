@@ -1,8 +1,10 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Texts are split into the words that the tokenizer's byte-level pre-tokenizer
-makes; each distinct word of the corpus is encoded once, and its ids go back to
-the positions that hold it. Decoding joins ids with the vocabulary's pieces.
+Texts are cut into words where the tokenizer's byte-level pre-tokenizer is sure to
+cut them, too; each distinct word of the corpus is encoded once, by the
+tokenizer itself, and its ids go back to the positions that hold it. Decoding
+joins ids with the vocabulary's pieces, once a distinct word, and the
+decoded words go back by position alike.
 """
 
 from __future__ import annotations
@@ -13,19 +15,17 @@ import json
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm.chunks import at_chunks, buckets_of, load_words, number_of_buckets, pack, squeeze_codes, to_buckets, unsqueeze, unsqueeze_codes
+from corpusloom.llm.chunks import Numbers, at_chunks, buckets_of, dump_words, load_words, number_of_buckets, pack, squeeze_codes, to_buckets, unsqueeze, unsqueeze_codes
+from corpusloom.llm.common import thrifty
 
 #: Words of a chunk; few chunks mean few repeats of a word in what is shuffled.
-CHUNK_WORDS = 1 << 21
-
-# The byte-level pre-tokenizer's published pattern, its white space spelled out.
-SPACES = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+CHUNK_WORDS = 1 << 20
+#: Words encoded at once, and words whose ids a task remembers at most.
+SLICE, MEMO = 4096, 1_000_000
 
 
 def read_tokenizer(path: str) -> str:
@@ -33,9 +33,9 @@ def read_tokenizer(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
-    if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
+    if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
         raise ValueError(f"{path} is not plain byte-level BPE")
-    if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])):
+    if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", [])):
         raise ValueError(f"{path} has added tokens that take in their neighbours")
     return json.dumps(spec | {"truncation": None, "padding": None})
 
@@ -57,60 +57,138 @@ def pieces(spec: str) -> dict[int, bytes]:
     return out | {t["id"]: t["content"].encode() for t in parsed.get("added_tokens", [])}
 
 
-def splitter(spec: str):
-    """Words of a text as bytes, in order; added tokens are words of their own and end the text before them."""
-    added = sorted((t["content"] for t in json.loads(spec).get("added_tokens", [])), key=len, reverse=True)
-    cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-    found = regex.compile(PATTERN).findall
-    state = (PATTERN, added)
+class Words(Numbers):
+    """Numbers the words of texts; see :func:`code_words` for what a key stands for.
+
+    ``flags`` tells of each part whether the text must not be cut before it (1) or after it (2).
+    """
+
+    def __init__(self):
+        self.flags = bytearray()
+
+    def __missing__(self, part: str) -> int:
+        n = self[part] = len(self)
+        first = part[1:2] if part[:1] == "\n" else part[:1]
+        last = part[-2:-1] if part[-1:] == " " else part[-1:]
+        self.flags.append((not first or first.isspace()) | (not last or last.isspace()) << 1)
+        return n
 
-    def split(text: str) -> list[bytes]:
-        if cut is None or not any(a in text for a in state[1]):
-            return [w.encode("utf-8", "surrogatepass") for w in found(text)]
-        out: list[bytes] = []
-        for i, part in enumerate(cut.split(text)):
-            out += [part.encode()] if i % 2 else [w.encode("utf-8", "surrogatepass") for w in found(part)]
-        return out
+    def clear(self) -> None:
+        super().clear()
+        self.flags.clear()
 
-    return split
+    def listed(self) -> list[bytes]:
+        return [(k[:-1] if k[-1:] == " " else _read(k)).encode() for k in self]
 
 
-def encode_words(buckets: DataFrame, spec: str) -> DataFrame:
-    """(chunk, bucket, answer): the ids of each word, each distinct word encoded once.
+def _read(part: str) -> str:
+    return part if part[:1] == "\n" else " " + part
 
-    A bucket's words all come to one task, which remembers the ids of those it has
-    seen: the distinct words of a bucket, a fraction of the corpus' vocabulary.
+
+def code_words(text: str, number: Words) -> np.ndarray:
+    """Numbers of a text's words.
+
+    A word starts at each space and line feed that stands between two characters other than
+    white space: there every match of the pre-tokenizer's pattern ends, whatever
+    surrounds it. A part p, without spaces, stands for the space before it and p, or for p
+    if it starts with a line feed; a key that ends with a space stands for what is before that space.
+    """
+    parts = text.replace("\n", " \n").split(" ")
+    parts[0] += " "
+    codes = number.codes(parts)
+    flags = np.frombuffer(number.flags, np.uint8)[codes]
+    joined = (flags[1:] & 1) | (flags[:-1] & 2)
+    if not joined.any():
+        return codes
+    starts = np.flatnonzero(np.r_[True, joined == 0])
+    ends = np.r_[starts[1:], len(parts)]
+    out = codes[starts]
+    for i in np.flatnonzero(ends - starts > 1).tolist():
+        a, b = int(starts[i]), int(ends[i])
+        whole = (parts[0][:-1] if a == 0 else _read(parts[a])) + "".join(map(_read, parts[a + 1 : b]))
+        out[i] = number[whole + " "]
+    return out
+
+
+def encode_words(buckets: DataFrame, shared) -> DataFrame:
+    """(chunk, bucket, answer): the ids of each word, each distinct word encoded once, and what they decode to.
+
+    A bucket's words all come to one task, one bucket after the other; the task remembers the
+    ids of the bucket's words. Decoding joins ids with the column of pieces, which is dense in ids: a
+    take by id. Words mostly decode to themselves; the answer lists those that do not.
     """
 
     def run(batches):
+        spec = shared.value
         tokenizer = Tokenizer.from_str(spec)
         known: dict[bytes, bytes] = {}
+        other: dict[bytes, bytes] = {}
+        of_id = pieces(spec)
+        column = pa.array([of_id.get(i, b"") for i in range(max(of_id, default=-1) + 1)], pa.binary())
+        del of_id
+
+        def learn(new: list[bytes]) -> None:
+            ids = [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+            ends = np.cumsum([len(x) for x in ids])
+            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(ends[-1]))
+            joined = column.take(pa.array(flat))
+            stops = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)[ends].tolist()
+            data = joined.buffers()[2].to_pybytes() if len(joined) else b""
+            a = at = 0
+            for w, b, stop in zip(new, ends.tolist(), stops):
+                known[w] = flat[a:b].tobytes()
+                if data[at:stop] != w:
+                    other[w] = data[at:stop]
+                a, at = b, stop
+
+        last = None
         for b in batches:
-            answers = []
-            for blob in b.column("words").to_pylist():
-                words = load_words(blob)
-                if new := [w for w in words if w not in known]:
-                    for w, e in zip(new, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                        known[w] = np.array(e.ids, np.uint32).tobytes()
-                ids = [known[w] for w in words]
-                answers.append(squeeze_codes(np.concatenate([np.array([len(ids), *(len(x) // 4 for x in ids)], np.uint32), np.frombuffer(b"".join(ids), np.uint32)])))
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("bucket"), pa.array(answers, pa.binary())], ["chunk", "bucket", "answer"])
+            for lo in range(0, b.num_rows, 64):
+                part, answers = b.slice(lo, 64), []
+                for bucket, blob in zip(part.column("bucket").to_pylist(), part.column("words")):
+                    words = load_words(blob.as_py())
+                    if bucket != last or len(known) > MEMO:
+                        known.clear()
+                        other.clear()
+                        last = bucket
+                    new = [w for w in words if w not in known]
+                    for at in range(0, len(new), SLICE):
+                        learn(new[at : at + SLICE])
+                    ids = [known[w] for w in words]
+                    odd = [i for i, w in enumerate(words) if w in other] if other else []
+                    sizes = [len(x) // 4 for x in ids]
+                    numbers = squeeze_codes(np.concatenate([np.array([len(ids), len(odd), *sizes, *odd], np.uint32), np.frombuffer(b"".join(ids), np.uint32)]))
+                    answers.append(len(numbers).to_bytes(4, "little") + numbers + (dump_words([other[words[i]] for i in odd]) if odd else b""))
+                yield pa.RecordBatch.from_arrays([part.column("chunk"), part.column("bucket"), pa.array(answers, pa.binary())], ["chunk", "bucket", "answer"])
 
     n = max(1, int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return buckets.select("bucket", "chunk", "words").repartition(n, "bucket").mapInArrow(run, "chunk long, bucket int, answer binary")
+    dealt = buckets.select("bucket", "chunk", "words").repartition(n, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(thrifty(run), "chunk long, bucket int, answer binary")
 
 
 class WordIds:
-    """The ids of a chunk's words: of word i, ids[start[i]:start[i] + size[i]]."""
+    """What is known of a chunk's words: of word i, ids[start[i]:start[i] + size[i]], and the bytes these decode to."""
 
     def __init__(self, words: list[bytes], answers: dict[int, bytes], n_buckets: int):
-        self.words = words
+        self.words = self.decoded = words
         _, order = buckets_of(words, n_buckets)
-        raw = [unsqueeze_codes(answers[k]) for k in sorted(answers)]  # a count, as many lengths, and the ids
-        sizes = np.concatenate([r[1 : int(r[0]) + 1] for r in raw]).astype(np.int64) if raw else np.zeros(0, np.int64)
-        if len(sizes) != len(words):
+        sizes, ids, at = [], [], 0
+        for k in sorted(answers):
+            cut = 4 + int.from_bytes(answers[k][:4], "little")
+            raw = unsqueeze_codes(answers[k][4:cut])  # words, words listed, lengths, places of those listed, ids
+            n, odd = int(raw[0]), int(raw[1])
+            sizes.append(raw[2 : n + 2].astype(np.int64))
+            ids.append(raw[n + odd + 2 :].astype(np.int32))
+            if odd:
+                if self.decoded is words:
+                    self.decoded = list(words)
+                for i, back in zip(raw[n + 2 : n + odd + 2].tolist(), load_words(answers[k][cut:])):
+                    self.decoded[int(order[at + i])] = back
+            at += n
+        if at != len(words):
             raise RuntimeError("the texts or their partitions changed between two reads; write them as a table first")
-        self.ids = np.concatenate([r[int(r[0]) + 1 :] for r in raw]).astype(np.int32) if raw else np.zeros(0, np.int32)
+        sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         self.size, self.start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         self.size[order], self.start[order] = sizes, np.cumsum(sizes) - sizes
 
@@ -125,29 +203,22 @@ class WordIds:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, finish, schema: str) -> DataFrame:
-    """Encode whole texts; finish(doc_ids, codes of each document, the words' ids, pieces) makes each chunk's rows.
+    """Encode whole texts; finish(doc_ids, codes of each document, what is known of the words) makes each chunk's rows.
 
     tokenizer_path is read on the driver; executors get its content.
     """
     spark: SparkSession = docs.sparkSession
     spec = read_tokenizer(tokenizer_path)
-    shared = spark.sparkContext.broadcast(spec)  # a vocabulary file, whatever the corpus' size
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(False).alias("learn"))
-
-    def split(text: str, made=[]):  # noqa: B006  made once for each worker
-        if not made:
-            made.append(splitter(shared.value))
-        return made[0](text)
-
     # the shuffle by chunk feeds both sides: texts are split once, and positions are on disk once
-    packed = pack(rows, split, CHUNK_WORDS, by_content=True).repartition("chunk")
+    packed = pack(rows, code_words, Words, CHUNK_WORDS).repartition("chunk")
     n = number_of_buckets(rows.count() // 4096)
-    answers = encode_words(to_buckets(packed, n), spec)
+    answers = encode_words(to_buckets(packed, n), spark.sparkContext.broadcast(spec))  # a vocabulary file, whatever the corpus' size
 
     def one(row: dict, found: dict[int, bytes]) -> pa.Table:
         codes, ends = unsqueeze_codes(row["codes"]), unsqueeze(row["ends"], np.int64)
         texts = [codes[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())] if len(ends) else []
-        return finish(row["doc_ids"], texts, WordIds(load_words(row["words"]), found, n), pieces(shared.value))
+        return finish(row["doc_ids"], texts, WordIds(load_words(row["words"]), found, n))
 
     return at_chunks(packed, answers, one, schema)
 
@@ -155,7 +226,7 @@ def encode(docs: DataFrame, tokenizer_path: str, finish, schema: str) -> DataFra
 def encode_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids array<int>) for each input row; null and empty texts have no ids."""
 
-    def finish(doc_ids, texts, ids, piece):
+    def finish(doc_ids, texts, ids):
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array([ids.of_text(t) for t in texts], pa.list_(pa.int32()))})
 
     return encode(docs, tokenizer_path, finish, "doc_id long, ids array<int>")
@@ -164,11 +235,11 @@ def encode_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def encode_checked(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_ok) for each input row; decoded_ok: the ids' pieces make the text again."""
 
-    def finish(doc_ids, texts, ids, piece):
+    def finish(doc_ids, texts, ids):
         out, same = [], []
         for t in texts:
             out.append(ids.of_text(t))
-            same.append(b"".join([piece[i] for i in out[-1].tolist()]) == b"".join([ids.words[c] for c in t.tolist()]))
+            same.append(ids.decoded is ids.words or all(ids.decoded[c] == ids.words[c] for c in t.tolist()))
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array([len(x) for x in out], pa.int64()), "ids": pa.array(out, pa.list_(pa.int32())), "decoded_ok": pa.array(same, pa.bool_())})
 
     return encode(docs, tokenizer_path, finish, "doc_id long, n_tokens long, ids array<int>, decoded_ok boolean")
@@ -199,17 +270,14 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     ignored.
     """
 
-    def finish(doc_ids, texts, ids, piece):
-        each = [ids.of_word(i).tolist() for i in range(len(ids.words))]
-        shown = [",".join(map(str, w)) for w in each]
-        back = [b"".join([piece[i] for i in w]) for w in each]
-        del each
+    def finish(doc_ids, texts, ids):
+        shown = [",".join(map(str, ids.of_word(i).tolist())) for i in range(len(ids.words))]
         counts, first, second = [], [], []
         for t in texts:
             at = t.tolist()
             counts.append(int(ids.size[t].sum()) if at else 0)
-            first.append(hashlib.sha256(",".join([shown[c] for c in at]).encode()).hexdigest())
-            second.append(hashlib.sha256(b"".join([back[c] for c in at]).decode("utf-8", "replace").encode()).hexdigest())
+            first.append(hashlib.sha256(",".join(map(shown.__getitem__, at)).encode()).hexdigest())
+            second.append(hashlib.sha256(b"".join(map(ids.decoded.__getitem__, at)).decode("utf-8", "replace").encode()).hexdigest())
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())})
 
     return encode(docs, tokenizer_path, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

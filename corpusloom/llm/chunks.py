@@ -10,7 +10,6 @@ compressed.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -19,12 +18,28 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from corpusloom.llm.common import give_back, thrifty
 
 CHUNK_WORDS = 1 << 19
+#: A chunk's text in characters, which bounds dictionaries of very long words.
+CHUNK_CHARS = 1 << 23
 PACKED = "chunk long, doc_ids array<long>, learn array<boolean>, ends binary, codes binary, words binary, counts binary"
 
 
+class Numbers(dict):
+    """Numbers words in the order of their first use."""
+
+    def __missing__(self, word) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def codes(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
+
+    def listed(self) -> list[bytes]:
+        return list(self)
+
+
 def squeeze(data: bytes | np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data if isinstance(data, bytes) else data.tobytes())
 
@@ -56,40 +71,36 @@ def load_words(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def pack(docs: DataFrame, split: Callable[[str], list[bytes]], chunk_words: int = CHUNK_WORDS, by_content: bool = False) -> DataFrame:
+def pack(docs: DataFrame, code: Callable[[str, Numbers], np.ndarray], numbers: type[Numbers] = Numbers, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """Rows of PACKED from docs (doc_id long, text, learn boolean); null text is empty.
 
-    A chunk closes at the first document that brings it to ``chunk_words``.
-    It is named by its place, or if by_content by a hash of its dictionary, so that
-    two evaluations of docs agree on names exactly where they agree on chunks.
+    ``code`` gives the numbers of a text's words, and enters new ones in the chunk's dictionary.
+    A chunk closes at the first document that brings it to ``chunk_words`` words or CHUNK_CHARS characters.
+    Its name is a hash of its content and place, so that two evaluations of docs agree on
+    names exactly where they agree on chunks, and no two chunks share one.
     ``ends`` holds each document's end among ``codes``; ``counts`` how often each
     word is in documents to learn from.
     """
 
     def run(batches):
-        base, made = TaskContext.get().partitionId() << 32, 0
-        number: defaultdict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
-        ids, learn, parts, total = [], [], [], 0
+        place, made = TaskContext.get().partitionId() << 32, 0
+        number = numbers()
+        ids, learn, parts, total, chars = [], [], [], 0, 0
 
         def out():
             nonlocal made
             sizes = np.array([len(p) for p in parts], np.int64)
-            counts = np.zeros(len(number), np.int64)
-            for p, use in zip(parts, learn):
-                if use:
-                    counts += np.bincount(p, minlength=len(number)) if len(p) > len(number) // 8 else 0
-                    if len(p) <= len(number) // 8:
-                        np.add.at(counts, p, 1)
-            codes = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            codes = np.concatenate(parts)
             order = np.argsort(-np.bincount(codes, minlength=len(number)), kind="stable")  # frequent words get small numbers
-            place = np.empty_like(order)
-            place[order] = np.arange(len(order))
-            listed = list(number)
-            words = dump_words([listed[i] for i in order.tolist()])
-            chunk = xxhash.xxh64_intdigest(words) - (1 << 63) if by_content else base + made
-            row = (chunk, ids, learn, squeeze(np.cumsum(sizes)), squeeze_codes(place[codes]), words, squeeze(counts[order].astype(np.int32)))
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            codes = rank[codes]
+            counts = np.bincount(codes[np.repeat(np.array(learn, bool), sizes)], minlength=len(number))
+            listed = number.listed()
+            words, packed = dump_words([listed[i] for i in order.tolist()]), squeeze_codes(codes)
+            chunk = xxhash.xxh64_intdigest(words + packed, (place + made) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
             made += 1
+            row = (chunk, ids, learn, squeeze(np.cumsum(sizes)), packed, words, squeeze(counts.astype(np.int32)))
             types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["chunk", "doc_ids", "learn", "ends", "codes", "words", "counts"])
 
@@ -99,30 +110,27 @@ def pack(docs: DataFrame, split: Callable[[str], list[bytes]], chunk_words: int
                 for doc_id, text, use in zip(*(part.column(i).to_pylist() for i in range(3))):
                     ids.append(doc_id)
                     learn.append(bool(use))
-                    words = split(text) if text else []
-                    parts.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
-                    total += len(words)
-                    if total >= chunk_words:
+                    parts.append(code(text, number) if text else np.zeros(0, np.uint32))
+                    total += len(parts[-1])
+                    chars += len(text or "")
+                    if total >= chunk_words or chars >= CHUNK_CHARS:
                         yield out()
                         number.clear()
-                        ids, learn, parts, total = [], [], [], 0
+                        ids, learn, parts, total, chars = [], [], [], 0, 0
         if ids:
             yield out()
-        number.clear()
-        pa.default_memory_pool().release_unused()
 
-    return docs.select("doc_id", "text", "learn").mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text", "learn").mapInArrow(thrifty(run), PACKED)
 
 
 def buckets_of(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's bucket, and the words' order by bucket, sorted within."""
+    """Each word's bucket, and the words' order by bucket."""
     bucket = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(n)).astype(np.int64)
-    sorted_ = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-    return bucket, sorted_[np.argsort(bucket[sorted_], kind="stable")]
+    return bucket, np.argsort(bucket, kind="stable")
 
 
 def number_of_buckets(n_chunks: int) -> int:
-    return min(4096, max(32, n_chunks // 4))
+    return max(128, n_chunks // 32)
 
 
 def to_buckets(packed: DataFrame, n: int) -> DataFrame:
@@ -133,8 +141,9 @@ def to_buckets(packed: DataFrame, n: int) -> DataFrame:
             for chunk, blob, counts in zip(*(b.column(c).to_pylist() for c in ("chunk", "words", "counts"))):
                 words, counts = load_words(blob), unsqueeze(counts, np.int32)
                 bucket, order = buckets_of(words, n)
-                cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-                rows = [(k, order[cuts[k] : cuts[k + 1]]) for k in range(n) if cuts[k] < cuts[k + 1]]
+                sorted_ = bucket[order]
+                cuts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1], True]) if len(words) else np.zeros(1, np.int64)
+                rows = [(int(sorted_[a]), order[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "bucket": pa.array([k for k, _ in rows], pa.int32()),
@@ -145,7 +154,7 @@ def to_buckets(packed: DataFrame, n: int) -> DataFrame:
                 )
 
     # all columns, so that a shuffle of packed by chunk can serve both this and at_chunks
-    return packed.mapInArrow(run, "bucket int, chunk long, words binary, counts binary")
+    return packed.mapInArrow(thrifty(run), "bucket int, chunk long, words binary, counts binary")
 
 
 def at_chunks(packed: DataFrame, answers: DataFrame, finish: Callable[[dict, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
@@ -153,8 +162,8 @@ def at_chunks(packed: DataFrame, answers: DataFrame, finish: Callable[[dict, dic
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found = dict(zip(right["bucket"].to_pylist(), right["answer"].to_pylist()))
-        out = pa.concat_tables([finish(row, found) for row in left.to_pylist()])  # chunks of one name have one dictionary
-        pa.default_memory_pool().release_unused()  # workers live on, beside other stages' heaps
+        out = pa.concat_tables([finish(row, found) for row in left.to_pylist()])
+        give_back()
         return out
 
     return packed.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "answer").groupBy("chunk")).applyInArrow(meet, schema)

@@ -245,12 +245,18 @@ def test_bpe_matches_the_library(docs):
 
 def test_bpe_splits_like_the_library():
     tokenizer = Tokenizer.from_file(PATH)
-    split = bpe.splitter(bpe.read_tokenizer(PATH))
+    number = bpe.Words()
     rng = random.Random(9)
     alphabet = ["a", "Z", " ", "  ", "\n", "\t", "'s", "'ll", "'", "1", "²", "é", "\xa0", "　", "\x85", "\x1c", "漢", "!", "<|endoftext|>", "<|", "​", "᠎"]
-    for _ in range(1500):
-        x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12)))
-        assert [i for w in split(x) for i in tokenizer.encode(w.decode(), add_special_tokens=False).ids] == tokenizer.encode(x, add_special_tokens=False).ids
+    for _ in range(3000):
+        x = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 12)))
+        codes = bpe.code_words(x, number)
+        words = [w.decode() for w in number.listed()]
+        cut = [words[c] for c in codes.tolist()]
+        assert "".join(cut) == x
+        assert [i for w in cut for i in tokenizer.encode(w, add_special_tokens=False).ids] == tokenizer.encode(x, add_special_tokens=False).ids
+        if len(number) > 300:
+            number.clear()
 
 
 def test_bpe_decodes_through_a_join(docs):
