@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm import bpe, exact_dedup, langid, mixing, near_dedup
+from corpusloom.llm import bpe, exact_dedup, langid, mixing, simhash
 from corpusloom.llm.common import discard, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,9 +29,9 @@ def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _keep(docs, exact_dedup.exact_dedup(docs).where("kept").select(_row_key(F.col("text_sha256")).alias("key")))
 
 
-def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of the smallest id of each component of five-word shingle similarity 0.8 and more."""
-    found = near_dedup.near_dedup(docs.select("doc_id", "text", _row_key(F.sha2(exact_dedup.normalised(F.col("text")), 256)).alias("key")))
+    found = simhash.similar_dedup(docs.select("doc_id", "text", _row_key(F.sha2(exact_dedup.normalised(F.col("text")), 256)).alias("key")))
     return _keep(docs, found.where("kept").select("key"))
 
 
@@ -59,7 +59,7 @@ def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return keyed.join(kept.distinct(), "key", "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select(*COLUMNS)
 
 
-STAGES = [("language", stage_language), ("exact", stage_exact), ("near", stage_near), ("mix", stage_mix), ("bpe", stage_bpe)]
+STAGES = [("language", stage_language), ("exact", stage_exact), ("simhash", stage_simhash), ("mix", stage_mix), ("bpe", stage_bpe)]
 ORACLE_SQL = None
 
 

@@ -57,10 +57,15 @@ def pieces(spec: str) -> dict[int, bytes]:
     return out | {t["id"]: t["content"].encode() for t in parsed.get("added_tokens", [])}
 
 
+#: Stands before a part that no space precedes; a lone surrogate is in no text.
+MARK = "\udc80"
+
+
 class Words(Numbers):
     """Numbers the words of texts; see :func:`code_words` for what a key stands for.
 
-    ``flags`` tells of each part whether the text must not be cut before it (1) or after it (2).
+    ``flags`` tells of each part whether it starts with white space or nothing (1), ends so (2), ends with
+    anything but a letter or a digit (4), and whether it starts with MARK (8).
     """
 
     def __init__(self):
@@ -68,9 +73,11 @@ class Words(Numbers):
 
     def __missing__(self, part: str) -> int:
         n = self[part] = len(self)
-        first = part[1:2] if part[:1] == "\n" else part[:1]
+        marked = part[:1] == MARK
+        first = part[1:2] if marked or part[:1] == "\n" else part[:1]
         last = part[-2:-1] if part[-1:] == " " else part[-1:]
-        self.flags.append((not first or first.isspace()) | (not last or last.isspace()) << 1)
+        bare = not last or last.isspace()
+        self.flags.append((not first or first.isspace()) | bare << 1 | (bare or not last.isalnum() or last > "\u024f") << 2 | marked << 3)
         return n
 
     def clear(self) -> None:
@@ -82,22 +89,22 @@ class Words(Numbers):
 
 
 def _read(part: str) -> str:
-    return part if part[:1] == "\n" else " " + part
+    return part if part[:1] == "\n" else part[1:] if part[:1] == MARK else " " + part
 
 
 def code_words(text: str, number: Words) -> np.ndarray:
     """Numbers of a text's words.
 
-    A word starts at each space and line feed that stands between two characters other than
-    white space: there every match of the pre-tokenizer's pattern ends, whatever
-    surrounds it. A part p, without spaces, stands for the space before it and p, or for p
-    if it starts with a line feed; a key that ends with a space stands for what is before that space.
+    A word starts at each space and line feed that stands between two characters other than white space,
+    and at each comma and full stop after a letter or digit: there every match of the pre-tokenizer's pattern
+    ends, whatever surrounds it. A part p, without spaces, stands for the space before it and p, or for p
+    if it starts with a line feed, or for what follows MARK; a key that ends with a space stands for what is before that space.
     """
-    parts = text.replace("\n", " \n").split(" ")
+    parts = text.replace("\n", " \n").replace(",", f" {MARK},").replace(".", f" {MARK}.").split(" ")
     parts[0] += " "
     codes = number.codes(parts)
     flags = np.frombuffer(number.flags, np.uint8)[codes]
-    joined = (flags[1:] & 1) | (flags[:-1] & 2)
+    joined = (flags[1:] & 1) | (flags[:-1] >> 1 & 1) | (flags[1:] >> 3 & flags[:-1] >> 2 & 1)
     if not joined.any():
         return codes
     starts = np.flatnonzero(np.r_[True, joined == 0])

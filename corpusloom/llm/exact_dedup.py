@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import SPACE, materialize
+from corpusloom.llm.common import SPACE, materialize, thrifty
 
 #: Duplicate fingerprints up to this many (16 MB) are broadcast; beyond, the join shuffles.
 BROADCAST_FINGERPRINTS = 2_000_000
@@ -97,7 +97,7 @@ def repeated_fingerprints(fingerprints: DataFrame, n_rows: int, quotient_bits: i
         whole = CountingQuotientFilter.merge(parts, quotient_bits)
         return pa.table({"fp": pa.array(whole.fingerprints()[whole.counts > 1].view(np.int64), pa.int64())})
 
-    filters = fingerprints.select("fp").mapInArrow(build, "segment long, slots binary, counts binary")
+    filters = fingerprints.select("fp").mapInArrow(thrifty(build), "segment long, slots binary, counts binary")
     return filters.groupBy("segment").applyInArrow(merge, "fp long")
 
 

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import crc_mod, materialize
+from corpusloom.llm.common import crc_mod, materialize, thrifty
 
 UNDETERMINED = "und"
 SLOTS = 1 << 20
 #: Odd multipliers of the filters' multiply-shift hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Characters whose n-grams are held at once.
-TILE = 1 << 20
+TILE = 1 << 18
 #: An n-gram is its code points packed in 21 bits each, so at most three.
 ORDERS = (2, 3)
 
@@ -140,7 +140,7 @@ def train(docs: DataFrame, sample_docs: int = 1500, grams_per_language: int = 20
                 n = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(np.full(len(keys), lang, np.int32)), "gram": pa.array(keys.astype(np.int64)), "n": pa.array(n)})
 
-    counts = sample.select("text", "lang").mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.select("text", "lang").mapInArrow(thrifty(count), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "langid-grams")
     of_lang = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rate = counts.join(F.broadcast(of_lang), "lang").withColumn("rate", F.col("n") / F.col("total"))  # a row for each language
@@ -162,17 +162,18 @@ def predict(docs: DataFrame, filters: BitSlicedFilters, keep_text: bool = False)
 
     def run(batches):
         model = shared.value
-        for b in batches:
-            langs, scores = [], []
-            for text in b.column("text").to_pylist():
-                seen = model.counts(text) if text and model.languages else None
-                lang, score = (UNDETERMINED, 0.0) if seen is None else model.decide(seen)
-                langs.append(lang)
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*[f.name for f in keep], "lang_pred", "score"])
+        for whole in batches:
+            for b in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
+                langs, scores = [], []
+                for text in b.column("text").to_pylist():
+                    seen = model.counts(text) if text and model.languages else None
+                    lang, score = (UNDETERMINED, 0.0) if seen is None else model.decide(seen)
+                    langs.append(lang)
+                    scores.append(score)
+                yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*[f.name for f in keep], "lang_pred", "score"])
 
     ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], "lang_pred string", "score double"])
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(thrifty(run), ddl)
 
 
 def identify_languages(docs: DataFrame, folds: int = 4, held_out: int = 2, **options) -> DataFrame:

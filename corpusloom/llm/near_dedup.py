@@ -1,4 +1,4 @@
-"""Near-duplicates by Jaccard similarity of word shingles, MinHash banding for candidates.
+"""Shingle sets, MinHash bands and the exact Jaccard test, for near-duplicates of a given similarity.
 
 A text's shingle set is kept as 64-bit hashes. Texts that agree in all rows of a
 band of their MinHash signatures share a bucket. Each bucket's members are compared with
@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LAST_ID, connected_components, discard, materialize
+from corpusloom.llm.common import thrifty
 
 #: A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^5)^25 = 0.00005.
 BANDS, BAND_ROWS = 25, 5
@@ -62,8 +62,17 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def simhash_of(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 65536):
+        part = hashes[lo : lo + 65536].astype(">u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, key, node (hash of the shingle set), bands and hashes of each row (doc_id, text, key)."""
+    """doc_id, key, node (hash of the shingle set), fp (its SimHash) and bands of each row (doc_id, text, key)."""
 
     def run(batches):
         word_hash = _WordHash()
@@ -72,11 +81,25 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 part = b.slice(lo, 256)
                 sets = [shingle_set(t, shingle, word_hash) for t in part.column(1).to_pylist()]
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
+                fps = np.array([simhash_of(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": part.column(0), "key": part.column(2), "node": pa.array(nodes), "bands": pa.array([bands_of(s) for s in sets], pa.list_(pa.int64())), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())}
+                    {"doc_id": part.column(0), "key": part.column(2), "node": pa.array(nodes), "fp": pa.array(fps), "bands": pa.array([bands_of(s) for s in sets], pa.list_(pa.int64()))}
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "key").mapInArrow(run, "doc_id long, key string, node long, bands array<long>, hashes binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "key").mapInArrow(thrifty(run), "doc_id long, key string, node long, fp long, bands array<long>")
+
+
+def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of rows (node, text)."""
+
+    def run(batches):
+        word_hash = _WordHash()
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, shingle, word_hash).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(thrifty(run), "node long, hashes binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -95,34 +118,4 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     near = F.least(F.length("x"), F.length("y")) >= threshold * F.greatest(F.length("x"), F.length("y")) - 1e-9
     met = pairs.join(left, "a").join(right, "b").where(near)
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def near_dedup(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """Components of rows (doc_id, text, key) linked by a Jaccard similarity of ``threshold`` and more.
-
-    Returns one row per input row: doc_id, key, root, kept. A component's row of the smallest
-    doc_id (nulls last, then by key) is kept, and with it any row of the same key.
-    Texts of fewer words than a shingle are one shingle; null and wordless texts are alike.
-    """
-    rows = materialize(sketches(docs, shingle), "near")
-    dealt = rows.select("node", F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("bucket", "hub")
-    members = materialize(dealt.join(shared, "bucket").distinct(), "near-members")
-    sets = materialize(rows.select("node", "hashes").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
-    tried = materialize(members.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-tried")
-    links = materialize(similar(tried, sets, threshold), "near-links")
-    comp = materialize(connected_components(links), "near-cc")
-    placed = members.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    open_ = materialize(placed.join(mixed, "bucket"), "near-open")  # buckets that hold several components
-    x, y = (open_.select("bucket", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in ("a", "b"))
-    rest = x.join(y, "bucket").where("a < b and root_a <> root_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    links = materialize(links.union(similar(rest, sets, threshold)), "near-links")
-    comp = materialize(connected_components(links), "near-cc")
-    placed = rows.select("doc_id", "key", "node").join(comp, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("root"))
-    first = placed.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "key")).alias("first"))
-    out = materialize(placed.join(first, "root").select("doc_id", "key", "root", (F.col("key") == F.col("first.key")).alias("kept")), "near-out")
-    for used in (rows, members, sets, tried, open_):
-        discard(used)
-    return out
+    return met.select("a", "b", "x", "y").mapInArrow(thrifty(run), "a long, b long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_mod
+from corpusloom.llm.common import crc_mod, thrifty
 
 #: Own features of a line; the field also sees the previous and the next line's.
 FEATURES = ("bias", "log_words", "symbols", "digits", "upper", "pipes", "repeats", "variety", "long_words", "short_words", "end_mark", "odd_ends", "same_as_previous", "capital_words", "mean_length")
@@ -191,7 +191,7 @@ def train(labelled: DataFrame, sizes: dict[int, int], rates: dict[int, float]) -
                 {"quality": b.column("quality"), "x": pa.array([f[0].astype(np.float32).tobytes() for f in found], pa.binary()), "lengths": pa.array([f[1].tobytes() for f in found], pa.binary()), "doc_id": b.column("doc_id")}
             )
 
-    got = labelled.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "quality int, x binary, lengths binary, doc_id long").orderBy("doc_id", "x").collect()  # the sample
+    got = labelled.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(thrifty(run), "quality int, x binary, lengths binary, doc_id long").orderBy("doc_id", "x").collect()  # the sample
     if len({r["quality"] for r in got}) < 2:
         field.curve = (0.01, float(np.log((sizes[1] + 1) / (sizes[0] + 1))))
         return field
@@ -231,7 +231,7 @@ def score_documents(docs: DataFrame, field: LineField, threshold: float = 0.3) -
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], [*[f.name for f in keep], "score", "predicted"])
 
     ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], "score double", "predicted int"])
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(thrifty(run), ddl)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample_docs: int = 4000) -> DataFrame:

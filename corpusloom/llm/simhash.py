@@ -7,6 +7,10 @@ replicated to every anchor within covering radius plus threshold that can be
 the home of a fingerprint at most ``threshold`` bits away: about 68 of the 2^24
 anchors. So for any two linked fingerprints each visits the other's home, and
 comparing homes with visitors, anchor by anchor, finds every link.
+
+:func:`similar_dedup` is the form for a Jaccard similarity: a pair of similarity 0.8
+differs in some ten of 64 bits, out of reach of any affordable covering, so pairs that
+share a MinHash band are candidates, too, and whole shingle sets decide.
 """
 
 from __future__ import annotations
@@ -17,9 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LAST_ID, connected_components, materialize
+from corpusloom.llm.common import LAST_ID, connected_components, discard, materialize, thrifty
+from corpusloom.llm.near_dedup import sets_of, similar, sketches
 
 BITS = 64
+#: Further hubs that buckets of several components are compared with before all of their pairs are.
+HUB_TURNS = 6
 BLOCK = 23
 #: Generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
@@ -82,10 +89,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "fp": pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())})
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                fps = [fingerprint(t, shingle, seed) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "fp": pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(thrifty(run), "doc_id long, fp long")
 
 
 def anchors(nodes: DataFrame, threshold: int) -> DataFrame:
@@ -123,7 +132,7 @@ def anchors(nodes: DataFrame, threshold: int) -> DataFrame:
                 at, keys, homes = deal(whole)
                 yield pa.RecordBatch.from_pydict({"anchor": pa.array(keys), "fp": pa.array(whole[at]), "node": pa.array(node[at]), "home": pa.array(homes)})
 
-    return nodes.select("fp", "node").mapInArrow(run, "anchor int, fp long, node long, home boolean")
+    return nodes.select("fp", "node").mapInArrow(thrifty(run), "anchor int, fp long, node long, home boolean")
 
 
 def links(nodes: DataFrame, threshold: int) -> DataFrame:
@@ -160,3 +169,56 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, threshold: int = 2, seed: i
     roots = comp.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))
     by_fp = comp.join(roots, "root").select("fp", F.when(F.col("component_id") < LAST_ID, F.col("component_id")).alias("component_id"), "members")
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "members")
+
+
+def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, threshold: int = 2) -> DataFrame:
+    """Components of rows (doc_id, text, key) linked by a Jaccard similarity of ``similarity`` and more of their word shingles.
+
+    Candidates are pairs whose SimHash fingerprints differ in at most ``threshold`` bits, by anchors, and
+    pairs that share a band of MinHash values; whole shingle sets decide. Returns one row per input row: doc_id,
+    key, root, kept. A component's row of the smallest doc_id (nulls last, then by key) is kept, and with it any
+    row of the same key. Texts of fewer words than a shingle are one shingle; null and wordless texts are
+    alike. Works on empty tables; other columns are ignored.
+    """
+    docs = docs.select("doc_id", "text", "key")
+    rows = materialize(sketches(docs, shingle), "near")
+    nodes = rows.select("node", "fp", "bands").dropDuplicates(["node"])  # equal sets have equal sketches
+    close = rows.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    same_fp = rows.select("node", "fp").distinct().join(close.where("least < most"), "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    anchored = links(close.select("fp", F.col("least").alias("node")), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    dealt = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("bucket", "hub")
+    members = materialize(dealt.join(shared, "bucket").distinct(), "near-members")
+    tried = materialize(members.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).union(anchored).union(same_fp).distinct(), "near-tried")
+    # the sets of those in question are made again from their texts, one row for each
+    asked = members.select("node").union(tried.select("a")).union(tried.select("b")).distinct()
+    one = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    sets = materialize(sets_of(docs.join(one, "key").select("node", "text"), shingle).dropDuplicates(["node"]), "near-sets")
+    found = materialize(similar(tried, sets, similarity), "near-links")
+    n_members = members.count()
+    for turn in range(HUB_TURNS + 1):
+        whole = materialize(connected_components(found), "near-cc")
+        placed = members.select("bucket", "node").join(whole, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("root"))
+        parts = placed.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inner"))
+        mixed = parts.where("n * n > inner").withColumn("pairs", (F.col("n") * F.col("n") - F.col("inner")) / 2)
+        open_ = materialize(placed.join(mixed.select("bucket", "pairs"), "bucket"), "near-open")  # buckets that hold several components
+        left = open_.groupBy("bucket").agg(F.first("pairs").alias("p")).agg(F.sum("p").alias("p")).first()["p"] or 0
+        if not left:
+            break
+        x, y = (open_.select("bucket", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in ("a", "b"))
+        last = turn == HUB_TURNS or left <= 4 * n_members
+        if not last:  # another hub for each bucket: most of a crowd of similar texts joins it
+            x = x.groupBy("bucket").agg(F.min_by(F.struct("a", "root_a"), F.xxhash64("a", F.lit(turn))).alias("h")).select("bucket", "h.*")
+        rest = x.join(y, "bucket").where("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        rest = materialize(rest, "near-tried")
+        tried = tried.union(rest)
+        found = materialize(found.union(similar(rest, sets, similarity)), "near-links")
+        if last:
+            whole = materialize(connected_components(found), "near-cc")
+            break
+    placed = rows.select("doc_id", "key", "node").join(whole, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("root"))
+    first = placed.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "key")).alias("first"))
+    out = materialize(placed.join(first, "root").select("doc_id", "key", "root", (F.col("key") == F.col("first.key")).alias("kept")), "near-out")
+    for used in (rows, members, sets, found, open_, whole):
+        discard(used)
+    return out

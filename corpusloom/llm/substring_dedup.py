@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import LAST_ID, materialize
+from corpusloom.llm.common import LAST_ID, materialize, thrifty
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
@@ -186,7 +186,7 @@ def _pieces_of(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
                     }
                 )
 
-    return docs.select("dk", "th", "text").mapInArrow(run, "kind byte, seed long, content long, dk long, th long, loc long")
+    return docs.select("dk", "th", "text").mapInArrow(thrifty(run), "kind byte, seed long, content long, dk long, th long, loc long")
 
 
 def _words_of_pieces(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _words_of_pieces(wanted: DataFrame, docs: DataFrame, window: int) -> DataFra
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["seed", "dk", "th", "loc", "hot", "words"])
 
-    return docs.join(lists, ["dk", "th"]).select("dk", "th", "text", "at").mapInArrow(run, "seed long, dk long, th long, loc long, hot boolean, words binary")
+    return docs.join(lists, ["dk", "th"]).select("dk", "th", "text", "at").mapInArrow(thrifty(run), "seed long, dk long, th long, loc long, hot boolean, words binary")
 
 
 def _through_automata(placed: DataFrame, n_shards: int, window: int) -> DataFrame:
@@ -246,7 +246,7 @@ def _first_windows(placed: DataFrame, window: int) -> DataFrame:
                 cols = list(zip(*rows)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), *[pa.int64()] * 3))], ["words", "dk", "th", "start"])
 
-    each = placed.select("words", "dk", "th", "loc").mapInArrow(run, "words binary, dk long, th long, start long")
+    each = placed.select("words", "dk", "th", "loc").mapInArrow(thrifty(run), "words binary, dk long, th long, start long")
     return each.groupBy("words").agg(F.min(F.struct("dk", "th", "start")).alias("m")).select("m.*")
 
 
@@ -321,4 +321,4 @@ def substring_dedup(docs: DataFrame, window: int = 20, hot_contents: int = HOT_C
                     kept.append(b" ".join(left).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids_, pa.int64()), "n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
-    return keyed.join(spans, ["dk", "th"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return keyed.join(spans, ["dk", "th"], "left").select("doc_id", "text", "spans").mapInArrow(thrifty(run), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -247,7 +247,7 @@ def test_bpe_splits_like_the_library():
     tokenizer = Tokenizer.from_file(PATH)
     number = bpe.Words()
     rng = random.Random(9)
-    alphabet = ["a", "Z", " ", "  ", "\n", "\t", "'s", "'ll", "'", "1", "²", "é", "\xa0", "　", "\x85", "\x1c", "漢", "!", "<|endoftext|>", "<|", "​", "᠎"]
+    alphabet = ["a", "Z", " ", "  ", "\n", "\t", "'s", "'ll", "'", "1", "²", "é", "\xa0", "　", "\x85", "\x1c", "漢", "!", ",", ".", ", ", ".\n", "3.14", "<|endoftext|>", "<|", "​", "᠎"]
     for _ in range(3000):
         x = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 12)))
         codes = bpe.code_words(x, number)

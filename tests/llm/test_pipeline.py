@@ -22,7 +22,7 @@ def test_exact_stage_keeps_null_and_repeated_ids(spark):
 def test_near_stage_keeps_null_and_repeated_ids(spark):
     far = ["one two three four five six", "seven eight nine ten eleven twelve", "p q r s t u v"]
     rows = [(None, far[0]), (None, far[1]), (5, far[2]), (5, far[2].upper()), (5, far[2]), (6, far[0].upper())]
-    got = collections.Counter((r.doc_id, r.text.lower()) for r in corpus_pipeline.STAGES[2][1](spark, table(spark, rows), "").collect())
+    got = collections.Counter((r.doc_id, r.text.lower()) for r in corpus_pipeline.stage_simhash(spark, table(spark, rows), "").collect())
     assert got == collections.Counter([(6, far[0]), (None, far[1]), (5, far[2])])
 
 
@@ -42,5 +42,5 @@ def test_near_stage_drops_copies_of_similarity_080(spark):
         if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
             lo, hi = sorted((root[a], root[b]))
             root = [lo if r == hi else r for r in root]
-    got = sorted(r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, table(spark, rows), "").collect())
+    got = sorted(r.doc_id for r in corpus_pipeline.stage_simhash(spark, table(spark, rows), "").collect())
     assert got == sorted(set(root)) and len(got) < len(rows)
