@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusloom.llm.chunks import Numbers, at_chunks, buckets_of, dump_words, load_words, number_of_buckets, pack, squeeze_codes, to_buckets, unsqueeze, unsqueeze_codes
-from corpusloom.llm.common import thrifty
+from corpusloom.llm.common import small_batches, thrifty
 
 #: Words of a chunk; few chunks mean few repeats of a word in what is shuffled.
 CHUNK_WORDS = 1 << 20
@@ -215,6 +215,7 @@ def encode(docs: DataFrame, tokenizer_path: str, finish, schema: str) -> DataFra
     tokenizer_path is read on the driver; executors get its content.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     spec = read_tokenizer(tokenizer_path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(False).alias("learn"))
     # the shuffle by chunk feeds both sides: texts are split once, and positions are on disk once

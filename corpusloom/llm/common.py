@@ -25,10 +25,22 @@ SPACE = r"[\x20\x09-\x0D]+"
 LAST_ID = 9223372036854775807
 
 
+#: Bytes of rows that travel to Python at once. Spark's default is eight times as much, for each of an executor's tasks, on both sides.
+BATCH, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower Spark's limit for Arrow batches, unless the session has set one of its own."""
+    if (spark.conf.get(BATCH, None) or "").rstrip("bB") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH, str(8 << 20))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own where it is unset (local runs)."""
+    """The cluster's ``spark.checkpoint.dir``; a local master without it gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -38,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a scratch table and read it back; :func:`discard` deletes it."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import crc_mod, materialize, thrifty
+from corpusloom.llm.common import crc_mod, materialize, small_batches, thrifty
 
 UNDETERMINED = "und"
 SLOTS = 1 << 20
@@ -157,6 +157,7 @@ def train(docs: DataFrame, sample_docs: int = 1500, grams_per_language: int = 20
 def predict(docs: DataFrame, filters: BitSlicedFilters, keep_text: bool = False) -> DataFrame:
     """The input's columns, text only if keep_text, plus lang_pred and score, from whole texts."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(filters)  # SLOTS bitmasks, whatever the corpus' size
     keep = [f for f in docs.schema.fields if keep_text or f.name != "text"]
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_mod, thrifty
+from corpusloom.llm.common import crc_mod, small_batches, thrifty
 
 #: Own features of a line; the field also sees the previous and the next line's.
 FEATURES = ("bias", "log_words", "symbols", "digits", "upper", "pipes", "repeats", "variety", "long_words", "short_words", "end_mark", "odd_ends", "same_as_previous", "capital_words", "mean_length")
@@ -243,6 +243,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_ou
     labels do not count, nor do those other than 0 and 1. Learns from about ``sample_docs``
     labels, half of each where there are enough, by a hash of the id.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold = crc_mod(F.col("doc_id"), folds)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").where(fold != held_out).groupBy("doc_id").agg(F.min("quality").alias("quality"))

@@ -22,11 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import LAST_ID, connected_components, discard, materialize, thrifty
-from corpusloom.llm.near_dedup import sets_of, similar, sketches
+from corpusloom.llm.near_dedup import prefix_pairs, sets_of, similar, sketches
 
 BITS = 64
-#: Further hubs that buckets of several components are compared with before all of their pairs are.
-HUB_TURNS = 6
 BLOCK = 23
 #: Generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
@@ -195,30 +193,15 @@ def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, th
     one = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     sets = materialize(sets_of(docs.join(one, "key").select("node", "text"), shingle).dropDuplicates(["node"]), "near-sets")
     found = materialize(similar(tried, sets, similarity), "near-links")
-    n_members = members.count()
-    for turn in range(HUB_TURNS + 1):
-        whole = materialize(connected_components(found), "near-cc")
-        placed = members.select("bucket", "node").join(whole, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("root"))
-        parts = placed.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inner"))
-        mixed = parts.where("n * n > inner").withColumn("pairs", (F.col("n") * F.col("n") - F.col("inner")) / 2)
-        open_ = materialize(placed.join(mixed.select("bucket", "pairs"), "bucket"), "near-open")  # buckets that hold several components
-        left = open_.groupBy("bucket").agg(F.first("pairs").alias("p")).agg(F.sum("p").alias("p")).first()["p"] or 0
-        if not left:
-            break
-        x, y = (open_.select("bucket", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in ("a", "b"))
-        last = turn == HUB_TURNS or left <= 4 * n_members
-        if not last:  # another hub for each bucket: most of a crowd of similar texts joins it
-            x = x.groupBy("bucket").agg(F.min_by(F.struct("a", "root_a"), F.xxhash64("a", F.lit(turn))).alias("h")).select("bucket", "h.*")
-        rest = x.join(y, "bucket").where("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        rest = materialize(rest, "near-tried")
-        tried = tried.union(rest)
-        found = materialize(found.union(similar(rest, sets, similarity)), "near-links")
-        if last:
-            whole = materialize(connected_components(found), "near-cc")
-            break
+    comp = materialize(connected_components(found), "near-cc")
+    placed = members.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    open_ = materialize(placed.join(mixed, "bucket").select("node", "root").distinct(), "near-open")  # in buckets that hold several components
+    rest = materialize(prefix_pairs(sets.join(open_, "node", "left_semi"), open_, similarity).join(tried, ["a", "b"], "left_anti"), "near-rest")
+    whole = materialize(connected_components(found.union(materialize(similar(rest, sets, similarity), "near-links"))), "near-cc")
     placed = rows.select("doc_id", "key", "node").join(whole, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("root"))
     first = placed.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "key")).alias("first"))
     out = materialize(placed.join(first, "root").select("doc_id", "key", "root", (F.col("key") == F.col("first.key")).alias("kept")), "near-out")
-    for used in (rows, members, sets, found, open_, whole):
+    for used in (rows, members, tried, sets, found, comp, open_, rest, whole):
         discard(used)
     return out
