@@ -2,12 +2,10 @@
 
 A text's shingle set is kept as 64-bit hashes. Texts that agree in all rows of a
 band of their MinHash signatures share a bucket. Each bucket's members are compared with
-its smallest member first, which settles large groups of copies with one
-comparison a member and bucket. What is left are buckets of several components, mostly texts that share a passage;
-there the exact prefix filter finds the pairs to compare: in one order of all shingles, rarest first,
-two sets of similarity t share one of the first n - ceil(t n) + 1 of each. The order is by
-the counters of a fixed table, so it needs no count of every shingle, and any order is exact.
-Every link is decided by the whole shingle sets.
+the one of them that has the fullest buckets, mostly the original of a group of copies, which settles large
+groups with one comparison a member and bucket. What is left are buckets of several components, mostly texts that share a passage or
+are less alike. There pairs meet once, in the first bucket they share, and go on if a sketch of SKETCH bits lets them be as
+similar as asked. Every link is decided by the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -18,18 +16,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.chunks import squeeze, unsqueeze
 from corpusloom.llm.common import materialize, thrifty
 
 #: A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^5)^25 = 0.00005.
 BANDS, BAND_ROWS = 25, 5
 #: Elements of a signature's working table held at once; words whose hashes a task remembers.
 TILE, MEMO = 2048, 500_000
-#: Counters of the table that orders shingles, and the parts that it is added up in.
-COUNTERS, PARTS = 1 << 20, 64
+#: Bits of a sketch, one for each of as many MinHash values, and the deviations by which a pair at the threshold may miss it: 4.5, by chance 3 in a million.
+SKETCH, DEVIATIONS = 2048, 4.5
 _RNG = np.random.default_rng(42)
 FACTORS = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2)
+SKETCH_FACTORS = _RNG.integers(0, 2**63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
+SKETCH_OFFSETS = _RNG.integers(0, 2**63, SKETCH, np.uint64) * np.uint64(2)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -108,62 +107,54 @@ def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(thrifty(run), "node long, hashes binary")
 
 
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (_mix(hashes) >> np.uint64(64 - (COUNTERS.bit_length() - 1))).astype(np.int64)
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit of each of SKETCH MinHash values, as signed longs."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(hashes), TILE // 8):
+        least = np.minimum(least, (SKETCH_FACTORS[:, None] * hashes[None, lo : lo + TILE // 8] + SKETCH_OFFSETS[:, None]).min(axis=1))
+    return np.packbits((_mix(least) & np.uint64(1)).astype(bool)).view(np.int64)
 
 
-def counters(sets: DataFrame) -> np.ndarray:
-    """How many shingles of sets (hashes) fall on each of COUNTERS counters."""
-
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                np.add.at(total, _counter(np.frombuffer(x.as_py(), np.uint64)), 1)
-        step = COUNTERS // PARTS
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "counts": pa.array([squeeze(total[i * step : (i + 1) * step]) for i in range(PARTS)], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum((unsqueeze(c, np.int64) for c in table["counts"].to_pylist()), np.zeros(COUNTERS // PARTS, np.int64))
-        return pa.table({"part": table["part"][:1], "counts": pa.array([squeeze(total)], pa.binary())})
-
-    schema = "part int, counts binary"
-    rows = sets.select("hashes").mapInArrow(thrifty(count), schema).groupBy("part").applyInArrow(add, schema).collect()  # PARTS rows
-    out = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
-    for r in rows:
-        out[r["part"]] = unsqueeze(r["counts"], np.int64)
-    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
-
-
-def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(token, node, n): the shingles of each set (node, hashes) of n that any set of similarity ``threshold`` must share one of."""
-    order = sets.sparkSession.sparkContext.broadcast(counters(sets))  # COUNTERS numbers
+def sketched(sets: DataFrame) -> DataFrame:
+    """(node, sketch array<long>) of sets (node, hashes)."""
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                tokens, sizes = [], []
-                for x in part.column(1):
-                    h = np.frombuffer(x.as_py(), np.uint64)
-                    keep = len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1
-                    tokens.append(h[np.lexsort((h, order.value[_counter(h)]))[:keep]])
-                    sizes.append(len(h))
-                lengths = np.array([len(t) for t in tokens])
-                nodes = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens).view(np.int64)), "node": pa.array(np.repeat(nodes, lengths)), "n": pa.array(np.repeat(np.array(sizes, np.int32), lengths))})
-
-    return sets.select("node", "hashes").mapInArrow(thrifty(run), "token long, node long, n int")
-
-
-def prefix_pairs(sets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs a < b of sets that may have a similarity of ``threshold``, of different roots (node, root); none that has is missed."""
-    dealt = materialize(prefixes(sets, threshold).join(roots, "node"), "near-prefixes")
-    mixed = dealt.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    dealt = dealt.join(mixed, "token")
-    x, y = (dealt.select("token", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-    near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    return x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).select("a", "b").distinct()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(np.frombuffer(x.as_py(), np.uint64)) for x in part.column(1)], pa.list_(pa.int64()))], ["node", "sketch"])
+
+    return sets.select("node", "hashes").mapInArrow(thrifty(run), "node long, sketch array<long>")
+
+
+def most_apart(threshold: float) -> int:
+    """Bits in which the sketches of a pair of that similarity differ, but for DEVIATIONS."""
+    share = (1 - threshold) / 2
+    return int(SKETCH * (share + DEVIATIONS * (share * (1 - share) / SKETCH) ** 0.5))
+
+
+def open_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of different roots (node, root) that share a bucket (band, bucket, node) and whose sketches allow the threshold; each once.
+
+    nodes (node, bands). In a bucket the members of its largest component are met by the others only, so a large group of copies is not met by itself.
+    """
+    placed = members.join(roots, "node", "left").select("band", "bucket", "node", F.coalesce("root", "node").alias("root"))
+    counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("major")).where("roots > 1").select("bucket", "major")
+    placed = placed.join(mixed, "bucket")
+    asked = placed.select("node").distinct()
+    words = SKETCH // 64
+    wide = sketched(sets.join(asked, "node", "left_semi")).join(nodes.join(asked, "node", "left_semi"), "node")
+    wide = wide.select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(words)], *[F.col("bands")[i].alias(f"b{i}") for i in range(BANDS)])
+    rows = materialize(placed.join(wide, "node"), "near-open")
+    x, y = rows.where("root <> major").alias("x"), rows.alias("y")
+    first = F
+    for i in range(BANDS):
+        first = first.when(F.col(f"x.b{i}") == F.col(f"y.b{i}"), i)
+    apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, words)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    once = (F.col("y.root") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
+    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & (first == F.col("x.band")) & (apart <= most_apart(threshold))
+    return x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

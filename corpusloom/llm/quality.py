@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpusloom.llm.common import crc_mod, small_batches, thrifty
+from corpusloom.llm.common import crc_mod, materialize, small_batches, thrifty
 
 #: Own features of a line; the field also sees the previous and the next line's.
 FEATURES = ("bias", "log_words", "symbols", "digits", "upper", "pipes", "repeats", "variety", "long_words", "short_words", "end_mark", "odd_ends", "same_as_previous", "capital_words", "mean_length")
@@ -172,11 +173,12 @@ def fit_curve(quality: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(max(beta[0], 0.01)), float(beta[1])
 
 
-def train(labelled: DataFrame, sizes: dict[int, int], rates: dict[int, float]) -> LineField:
+def train(labelled: DataFrame, sizes: dict[int, int], sample_lines: int = 200_000) -> LineField:
     """A field from rows (doc_id, text, quality) of a sample of the labels; whole texts.
 
-    sizes: of each label 0 and 1 in all; rates: the share of each that was drawn. The curve
-    weights documents back to the labels' shares. With no rows, or one label only, the
+    sizes: of each label 0 and 1 in all. Of the sample, whole documents count as long as their lines do not
+    pass ``sample_lines``, the shortest first, so that what the driver gets is bounded. The curve
+    weights documents back to the labels' shares in all. With no rows, or one label only, the
     field knows nothing and scores are the share of good labels (1 if there are none).
     """
     field = LineField(3 * len(FEATURES))
@@ -191,7 +193,11 @@ def train(labelled: DataFrame, sizes: dict[int, int], rates: dict[int, float]) -
                 {"quality": b.column("quality"), "x": pa.array([f[0].astype(np.float32).tobytes() for f in found], pa.binary()), "lengths": pa.array([f[1].tobytes() for f in found], pa.binary()), "doc_id": b.column("doc_id")}
             )
 
-    got = labelled.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(thrifty(run), "quality int, x binary, lengths binary, doc_id long").orderBy("doc_id", "x").collect()  # the sample
+    rows = labelled.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(thrifty(run), "quality int, x binary, lengths binary, doc_id long")
+    found = materialize(rows.withColumn("n_lines", F.octet_length("lengths") / 8).withColumn("h", F.xxhash64("doc_id", "x")), "quality-sample")  # sample_docs rows
+    upto = found.select("h", F.sum("n_lines").over(Window.orderBy("n_lines", "h")).alias("upto")).where(F.col("upto") <= sample_lines).select("h").distinct()
+    got = found.join(F.broadcast(upto), "h", "left_semi").orderBy("doc_id", "x").collect()  # at most sample_lines lines
+    drawn = {k: sum(r["quality"] == k for r in got) for k in sizes}
     if len({r["quality"] for r in got}) < 2:
         field.curve = (0.01, float(np.log((sizes[1] + 1) / (sizes[0] + 1))))
         return field
@@ -208,7 +214,7 @@ def train(labelled: DataFrame, sizes: dict[int, int], rates: dict[int, float]) -
     y2 = np.where((np.repeat(label, n_lines) == 0) & (good > 0.5) & (good > worst + 0.2), 1, y)
     field.fit(x, y2, n_lines, weight, rounds=100)
     field.curve = fit_curve(field.quality(x, lengths, n_lines), label)
-    field.curve = (field.curve[0], field.curve[1] + float(np.log(rates[0] / rates[1])))
+    field.curve = (field.curve[0], field.curve[1] + float(np.log((drawn[0] / sizes[0]) / (drawn[1] / sizes[1]))))
     return field
 
 
@@ -234,14 +240,15 @@ def score_documents(docs: DataFrame, field: LineField, threshold: float = 0.3) -
     return docs.mapInArrow(thrifty(run), ddl)
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample_docs: int = 4000) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample_docs: int = 4000, sample_lines: int = 200_000) -> DataFrame:
     """Learn from labelled rows outside one fold of ids and score every document.
 
     Returns a row for each input row: doc_id, held_out, score, predicted. Empty and
     null texts are scored as one empty line. Null doc_ids are scored, not learned
     from and not held out. Of repeated labels of an id the smallest counts; null
     labels do not count, nor do those other than 0 and 1. Learns from about ``sample_docs``
-    labels, half of each where there are enough, by a hash of the id.
+    labels, half of each where there are enough, by a hash of the id, and at most ``sample_lines`` lines of them, the documents of
+    the most lines left out first.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -249,10 +256,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_ou
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").where(fold != held_out).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marks = marks.where("quality in (0, 1)")
     sizes = _sizes(marks)
-    bounded = _bounded(marks, sizes, sample_docs)
-    drawn = _sizes(bounded)
-    labelled = rows.join(F.broadcast(bounded), "doc_id").select("doc_id", "text", "quality")
-    field = train(labelled, sizes, {k: drawn.get(k, 0) / n for k, n in sizes.items()})
+    labelled = rows.join(F.broadcast(_bounded(marks, sizes, sample_docs)), "doc_id").select("doc_id", "text", "quality")
+    field = train(labelled, sizes, sample_lines)
     return score_documents(rows.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "text"), field)
 
 

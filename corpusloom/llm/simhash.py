@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import LAST_ID, connected_components, discard, materialize, thrifty
-from corpusloom.llm.near_dedup import prefix_pairs, sets_of, similar, sketches
+from corpusloom.llm.near_dedup import open_pairs, sets_of, similar, sketches
 
 BITS = 64
 BLOCK = 23
@@ -184,24 +184,25 @@ def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, th
     close = rows.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     same_fp = rows.select("node", "fp").distinct().join(close.where("least < most"), "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     anchored = links(close.select("fp", F.col("least").alias("node")), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    dealt = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("bucket", "hub")
-    members = materialize(dealt.join(shared, "bucket").distinct(), "near-members")
-    tried = materialize(members.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).union(anchored).union(same_fp).distinct(), "near-tried")
+    dealt = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    crowds = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(dealt.join(crowds, "bucket"), "near-members")
+    fullest = members.groupBy("node").agg(F.sum("n").alias("pull"))
+    hubs = members.join(fullest, "node").groupBy("bucket").agg(F.max_by("node", F.struct("pull", "node")).alias("hub"))
+    starred = members.join(hubs, "bucket").where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    tried = materialize(starred.union(anchored).union(same_fp.select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), "near-tried")
     # the sets of those in question are made again from their texts, one row for each
     asked = members.select("node").union(tried.select("a")).union(tried.select("b")).distinct()
     one = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     sets = materialize(sets_of(docs.join(one, "key").select("node", "text"), shingle).dropDuplicates(["node"]), "near-sets")
     found = materialize(similar(tried, sets, similarity), "near-links")
     comp = materialize(connected_components(found), "near-cc")
-    placed = members.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    open_ = materialize(placed.join(mixed, "bucket").select("node", "root").distinct(), "near-open")  # in buckets that hold several components
-    rest = materialize(prefix_pairs(sets.join(open_, "node", "left_semi"), open_, similarity).join(tried, ["a", "b"], "left_anti"), "near-rest")
+    roots = comp.select("node", F.col("component").alias("root"))
+    rest = materialize(open_pairs(members, nodes.select("node", "bands"), sets, roots, similarity).join(tried, ["a", "b"], "left_anti"), "near-rest")
     whole = materialize(connected_components(found.union(materialize(similar(rest, sets, similarity), "near-links"))), "near-cc")
     placed = rows.select("doc_id", "key", "node").join(whole, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("root"))
     first = placed.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "key")).alias("first"))
     out = materialize(placed.join(first, "root").select("doc_id", "key", "root", (F.col("key") == F.col("first.key")).alias("kept")), "near-out")
-    for used in (rows, members, tried, sets, found, comp, open_, rest, whole):
+    for used in (rows, members, tried, sets, found, comp, rest, whole):
         discard(used)
     return out

@@ -21,8 +21,8 @@ from corpusloom.llm.common import discard, materialize, shared_dir
 
 MAGIC = "WARC/1."
 CRLF = "\r\n"
-#: Revisits up to this many (some 50 MB) are broadcast to the writers; beyond, pages are shuffled by id.
-BROADCAST_REVISITS = 500_000
+#: Payloads that several pages have, up to this many (some 50 MB), are broadcast to the writers; beyond, pages are shuffled by digest.
+BROADCAST_PAYLOADS = 500_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -40,15 +40,11 @@ def warc_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """(record): the text of a WARC record for each page, without the blank lines that end it."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     p = p.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload"))
-    digests = materialize(p.select("page_id", "digest", "bytes"), "warc-digests")
-    first = digests.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").drop("n")
-    revisits = digests.select("page_id", "digest").join(first, "digest").where("not (page_id <=> first_id)").select(F.col("page_id").alias("rid"), F.col("digest").alias("rdigest"), "first_id").distinct()
-    revisits = materialize(revisits, "warc-revisits")
-    if revisits.count() <= BROADCAST_REVISITS:
-        revisits = F.broadcast(revisits)
-    p = p.join(revisits, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
+    narrow = p.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    first = materialize(narrow.where("n > 1 and first_id is not null").drop("n"), "warc-payloads")
+    p = p.join(F.broadcast(first) if first.count() <= BROADCAST_PAYLOADS else first, "digest", "left")
+    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     line = lambda *x: F.concat(*[v if isinstance(v, Column) else F.lit(v) for v in x], F.lit(CRLF))
-    again = F.col("first_id").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     uri = F.replace(F.regexp_replace(F.coalesce("url", F.lit("about:blank")), "[\\x00-\\x20\\x7f]+", "%20"), F.lit("WARC/"), F.lit("WARC%2F"))
     http = F.concat(line("HTTP/1.1 200 OK"), line("Content-Type: text/html; charset=utf-8"), line("Content-Length: ", F.col("bytes").cast("string")), F.lit(CRLF))
@@ -74,7 +70,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, row, piece) for the bytes between one magic and the next; file is a hash of the path, row orders a byte range's pieces."""
+    """(file, block, row, piece) for the bytes between one magic and the next, in one scan; file is a hash of the path, row orders a byte range's pieces."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
     return raw.select(
         F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("piece")
@@ -92,7 +88,8 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     """(file, off, next, size, …) of every place where a record might start; header fields are null where none parses.
 
     ``whole`` tells that the record lies in its piece, and payload_bytes and
-    payload_digest are those of its payload.
+    payload_digest are those of its payload. Of other pieces the bytes are kept, as ``piece``: they belong
+    to records with magic inside, or to none.
     """
     head_end = _blank_line("piece")
     head = F.expr("decode(substring(piece, 1, greatest(0, head_end + 1)), 'ISO-8859-1')")
@@ -110,6 +107,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         "file", "block", "row", "len", "length", "block_at", "record_end", "whole",
         field("WARC-Type").alias("type"), field("WARC-Record-ID").alias("id"), field("WARC-Refers-To").alias("refers"), field("WARC-Payload-Digest").alias("declared"),
         field("Content-Type").alias("kind"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
+        F.when(~F.coalesce("whole", F.lit(False)), F.col("piece")).alias("piece"),
     )
     narrow = materialize(narrow, "warc-pieces")
     step = F.col("len") + len(MAGIC)
@@ -153,21 +151,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{broken} archives below {path}: the chain of records does not end at the end of the file")
     split = records.where("not whole")
     fields = ["type", "id", "refers", "declared", "payload_bytes", "payload_digest", "file", "off"]
-    # records with magic inside: their pieces are read again and joined, in order
-    spans = split.select("file", F.col("off").alias("start"), F.col("next").alias("stop"), F.col("row").alias("row0"))
+    # records with magic inside are joined from the pieces kept, in order
+    spans = split.select("file", F.col("off").alias("start"), F.col("next").alias("stop"))
     if spans.isEmpty():
         return records.select(*fields)
     spans = materialize(spans, "warc-spans")
     bucket = 1 << 20
     tiles = spans.select("*", F.explode(F.sequence(F.expr(f"start div {bucket}"), F.expr(f"(stop - 1) div {bucket}"))).alias("tile"))
-    inside = at.select("file", "row", "off", F.expr(f"off div {bucket}").alias("tile")).alias("c").join(
+    inside = at.where("piece is not null").select("file", "off", "piece", F.expr(f"off div {bucket}").alias("tile")).alias("c").join(
         tiles.alias("s"), (F.col("c.file") == F.col("s.file")) & (F.col("c.tile") == F.col("s.tile")) & (F.col("c.off") >= F.col("s.start")) & (F.col("c.off") < F.col("s.stop"))
-    ).select("c.file", "c.row", "c.off", "s.start")
-    again = _pieces(spark, path).drop("block").join(inside, ["file", "row"])
-    joined = again.groupBy("file", F.col("start").alias("off")).agg(F.array_sort(F.collect_list(F.struct(F.col("off").alias("at"), "piece"))).alias("pieces"))
-    magic = f"cast('{MAGIC}' as binary)"
-    joined = joined.withColumn("bytes", F.expr(f"aggregate(pieces, cast('' as binary), (acc, x) -> if(octet_length(acc) = 0, x.piece, concat(acc, {magic}, x.piece)))"))
-    full = split.drop("payload_bytes", "payload_digest").join(joined, ["file", "off"])
+    )
+    pieces = inside.groupBy("c.file", F.col("s.start").alias("off")).agg(F.array_sort(F.collect_list(F.struct(F.col("c.off").alias("at"), F.decode("c.piece", "ISO-8859-1").alias("piece")))).alias("pieces"))  # one record's
+    joined = pieces.select("file", "off", F.encode(F.array_join(F.transform("pieces", lambda x: x["piece"]), MAGIC), "ISO-8859-1").alias("bytes"))
+    full = split.drop("payload_bytes", "payload_digest", "piece").join(joined, ["file", "off"])
     full = full.withColumn("body", F.expr("substring(bytes, cast(block_at + 1 as int), cast(length as int))"))
     full = full.withColumn("http", F.when(F.coalesce("kind", F.lit("")).startswith("application/http"), _blank_line("body")).otherwise(0))
     full = full.withColumn("payload", F.when(F.col("http") > 0, F.expr("substring(body, http + 4)")).otherwise(F.col("body")))

@@ -282,11 +282,12 @@ def test_class_model(spark, docs):
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(8)
     pairs = rng.integers(0, 5, (class_lm.ITEMS, class_lm.ITEMS)).astype(float) * (rng.random((class_lm.ITEMS, class_lm.ITEMS)) < 0.002)
-    cls = class_lm.exchange(pairs, 8, sweeps=1)
+    cls = class_lm.exchange(pairs, 8)
     assert cls[0] == 0 and (cls[1:] > 0).all()
     words = rng.integers(1, 50, 40)
     items = rng.integers(1, class_lm.ITEMS, 40)
-    model = class_lm.ClassModel({}, cls, pairs, 8, np.bincount(items, minlength=class_lm.ITEMS), np.bincount(items, weights=words, minlength=class_lm.ITEMS), int(words.sum()), 40, 1)
+    member = np.eye(8)[cls]
+    model = class_lm.ClassModel({}, cls, member.T @ pairs @ member, np.bincount(cls[items], minlength=8), np.bincount(cls[items], weights=words, minlength=8), int(words.sum()), 40, 1)
     for before in range(8):
         p = model.transition[before, 0]
         for c in range(1, 8):
@@ -304,3 +305,24 @@ def test_empty_tables(spark, none):
         warc.warc_round_trip(pages), quality.classify_quality(none, labels), exact_dedup.exact_dedup(none), bpe.round_trip(none, PATH), class_lm.score_documents(none),
     ]
     assert [df.count() for df in found] == [0] * len(found)
+
+
+def test_words_outside_the_core_are_classed_by_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "CORE_WORDS", 2)
+    monkeypatch.setattr(class_lm, "ITEMS", 1 + 2 + class_lm.ENDINGS)
+    rng = random.Random(11)
+    nouns, verbs = ([f"{rng.randrange(10**9)}{k}{rng.randrange(10**6)}" for _ in range(60)] for k in "nv")
+    texts = [" ".join(w for _ in range(30) for w in ("the", rng.choice(nouns), "so", rng.choice(verbs))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen = []
+    real = class_lm.materialize
+    monkeypatch.setattr(class_lm, "materialize", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    monkeypatch.setattr(class_lm, "discard", lambda df: None)
+    got = class_lm.score_documents(docs, n_classes=6).collect()
+    final = next(df for df in seen if "bigrams" in df.columns).select("classes", "chunk").collect()
+    words = {r.chunk: class_lm.load_words(r.words) for r in seen[0].select("chunk", "words").collect()}
+    classes = [dict(zip(words[r.chunk], class_lm.unsqueeze(r["classes"], np.uint8).tolist())) for r in final]
+    assert all(len({c[w.encode()] for w in kind if w.encode() in c}) == 1 for c in classes for kind in (nouns, verbs))
+    assert classes[0][nouns[0].encode()] != classes[0][verbs[0].encode()]
+    held = [r for r in got if r.held_out]
+    assert held and sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held) and len({c[nouns[0].encode()] for c in classes}) == 1
