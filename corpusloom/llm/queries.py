@@ -71,11 +71,11 @@ _BASE32 = " || ".join(
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
-WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS w FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY embedding) AS nth, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS w FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.w, c.w)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+s AS (SELECT q.vec_id AS query_id, q.nth AS own, c.vec_id, c.nth, list_dot_product(q.w, c.w)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id OR q.nth <> c.nth WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id, nth) AS rank FROM s) WHERE rank <= 10""",
     "op3_source_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM d GROUP BY source),

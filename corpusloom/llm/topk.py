@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import materialize
+from corpusloom.llm.common import give_back, materialize
 
 #: Query rows whose dense score arrays a task holds at once.
 QUERY_TILE = 128

@@ -12,6 +12,7 @@ DataFrame operations, over any file system that Spark reads.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,8 +89,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     """(file, off, next, size, …) of every place where a record might start; header fields are null where none parses.
 
     ``whole`` tells that the record lies in its piece, and payload_bytes and
-    payload_digest are those of its payload. Of other pieces the bytes are kept, as ``piece``: they belong
-    to records with magic inside, or to none.
+    payload_digest are those of its payload.
     """
     head_end = _blank_line("piece")
     head = F.expr("decode(substring(piece, 1, greatest(0, head_end + 1)), 'ISO-8859-1')")
@@ -107,7 +107,6 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         "file", "block", "row", "len", "length", "block_at", "record_end", "whole",
         field("WARC-Type").alias("type"), field("WARC-Record-ID").alias("id"), field("WARC-Refers-To").alias("refers"), field("WARC-Payload-Digest").alias("declared"),
         field("Content-Type").alias("kind"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
-        F.when(~F.coalesce("whole", F.lit(False)), F.col("piece")).alias("piece"),
     )
     narrow = materialize(narrow, "warc-pieces")
     step = F.col("len") + len(MAGIC)
@@ -116,7 +115,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     starts = narrow.groupBy("file", "block").agg(F.sum(step).alias("total")).select("file", "block", F.coalesce(F.sum("total").over(of_file), F.lit(0)).alias("base"))
     placed = narrow.withColumn("inner", F.coalesce(F.sum(step).over(in_block), F.lit(0))).join(starts, ["file", "block"])
     off = F.col("base") + F.col("inner") - len(MAGIC)
-    return placed.withColumn("off", off).withColumn("next", F.col("off") + len(MAGIC) + F.col("record_end") + 4).drop("base", "inner", "block")
+    return placed.withColumn("off", off).withColumn("next", F.col("off") + len(MAGIC) + F.col("record_end") + 4).drop("base", "inner")
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -138,8 +137,28 @@ def reachable(links: DataFrame) -> DataFrame:
         found, hop, count = grown, longer, now
 
 
+@contextmanager
+def same_splits(spark: SparkSession):
+    """Files are cut alike by all scans inside, whatever executors come or go: Spark's cuts follow a number that defaults to the cores at hand."""
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, before or str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(type, id, refers, declared, payload_bytes, payload_digest, file, off) of every record in the archives below path."""
+    """(type, id, refers, declared, payload_bytes, payload_digest, file, off) of every record in the archives below path.
+
+    Raises an error where a chain of records does not end at the end of its file.
+    """
+    with same_splits(spark):
+        return _read_warc(spark, path)
+
+
+def _read_warc(spark: SparkSession, path: str) -> DataFrame:
     at = materialize(candidates(spark, path), "warc-candidates")
     links = at.where("length is not null and off >= 0").select("file", "off", "next")
     records = at.join(reachable(links), ["file", "off"], "left_semi")
@@ -151,24 +170,27 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{broken} archives below {path}: the chain of records does not end at the end of the file")
     split = records.where("not whole")
     fields = ["type", "id", "refers", "declared", "payload_bytes", "payload_digest", "file", "off"]
-    # records with magic inside are joined from the pieces kept, in order
+    # records with magic inside: their pieces are read again and joined, in order
     spans = split.select("file", F.col("off").alias("start"), F.col("next").alias("stop"))
     if spans.isEmpty():
         return records.select(*fields)
     spans = materialize(spans, "warc-spans")
     bucket = 1 << 20
     tiles = spans.select("*", F.explode(F.sequence(F.expr(f"start div {bucket}"), F.expr(f"(stop - 1) div {bucket}"))).alias("tile"))
-    inside = at.where("piece is not null").select("file", "off", "piece", F.expr(f"off div {bucket}").alias("tile")).alias("c").join(
+    inside = at.select("file", "block", "row", "off", F.expr(f"off div {bucket}").alias("tile")).alias("c").join(
         tiles.alias("s"), (F.col("c.file") == F.col("s.file")) & (F.col("c.tile") == F.col("s.tile")) & (F.col("c.off") >= F.col("s.start")) & (F.col("c.off") < F.col("s.stop"))
-    )
-    pieces = inside.groupBy("c.file", F.col("s.start").alias("off")).agg(F.array_sort(F.collect_list(F.struct(F.col("c.off").alias("at"), F.decode("c.piece", "ISO-8859-1").alias("piece")))).alias("pieces"))  # one record's
-    joined = pieces.select("file", "off", F.encode(F.array_join(F.transform("pieces", lambda x: x["piece"]), MAGIC), "ISO-8859-1").alias("bytes"))
-    full = split.drop("payload_bytes", "payload_digest", "piece").join(joined, ["file", "off"])
+    ).select("c.file", "c.block", "c.row", "c.off", "s.start")
+    pieces = _pieces(spark, path).join(inside, ["file", "block", "row"])
+    listed = pieces.groupBy("file", F.col("start").alias("off")).agg(F.array_sort(F.collect_list(F.struct(F.col("off").alias("at"), F.decode("piece", "ISO-8859-1").alias("piece")))).alias("pieces"))  # one record's
+    joined = listed.select("file", "off", F.encode(F.array_join(F.transform("pieces", lambda x: x["piece"]), MAGIC), "ISO-8859-1").alias("bytes"))
+    full = split.drop("payload_bytes", "payload_digest").join(joined, ["file", "off"], "left")
+    short = F.coalesce(F.octet_length("bytes") < F.col("record_end"), F.lit(True))
+    full = full.withColumn("bytes", F.when(short, F.raise_error(F.lit("the archives changed between two scans")).cast("binary")).otherwise(F.col("bytes")))
     full = full.withColumn("body", F.expr("substring(bytes, cast(block_at + 1 as int), cast(length as int))"))
     full = full.withColumn("http", F.when(F.coalesce("kind", F.lit("")).startswith("application/http"), _blank_line("body")).otherwise(0))
     full = full.withColumn("payload", F.when(F.col("http") > 0, F.expr("substring(body, http + 4)")).otherwise(F.col("body")))
     full = full.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    return records.where("whole").select(*fields).union(full.select(*fields))
+    return materialize(records.where("whole").select(*fields).union(full.select(*fields)), "warc-read")
 
 
 def warc_round_trip(pages: DataFrame, min_revisit_bytes: int = 0, path: str | None = None) -> DataFrame:
@@ -184,7 +206,7 @@ def warc_round_trip(pages: DataFrame, min_revisit_bytes: int = 0, path: str | No
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, min_revisit_bytes)
-    got = materialize(read_warc(spark, path), "warc-records")
+    got = read_warc(spark, path)
     number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1), '') as bigint)")
     rows = got.select(number("id").alias("page_id"), "type", number("refers").alias("refers_to"), F.regexp_replace("declared", "^sha1:", "").alias("declared"), "payload_bytes", "payload_digest")
     revisits = rows.where("type = 'revisit'").select("page_id", "refers_to", F.col("declared").alias("payload_digest"))

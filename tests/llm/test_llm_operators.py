@@ -104,10 +104,22 @@ def test_topk(spark):
     table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, score string, rank int")
     rows = topk.sparse_rows(table, "vec_id", "embedding")
     got = topk.exact_topk(rows.where("id % 20 = 0"), rows, 10, query_block=4, corpus_block=32).collect()
-    known = {v[0]: [math.floor(1024 * float(np.float32(x))) for x in v[1]] for v in vectors if v[0] not in (200, 201, 202, None)}
-    for q in (i for i in known if i % 20 == 0):
-        want = sorted(((sum(a * b for a, b in zip(known[q], v)), -i) for i, v in known.items() if i != q), reverse=True)[:10]
-        assert [(r.score, -r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+    known = [(v[0], [math.floor(1024 * float(np.float32(x))) for x in v[1]]) for v in vectors if v[0] not in (200, 201, 202, None)]  # 5 is there twice
+    for at, (q, own) in enumerate(known):
+        if q % 20 == 0:
+            want = sorted(((sum(a * b for a, b in zip(own, v)), -i) for k, (i, v) in enumerate(known) if k != at), reverse=True)[:10]
+            assert [(r.score, -r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_topk_of_rows_that_repeat_an_id_and_of_large_components(spark):
+    table = spark.createDataFrame([(100, [2.9e6]), (100, [2.0]), (7, [2.9e6]), (8, [-2.9e6])], "vec_id long, embedding array<double>")
+    rows = topk.sparse_rows(table, "vec_id", "embedding")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_topk(rows.where("id = 100"), rows, 2).collect())
+    big = 2969600000
+    assert got == [(100, 1, 7, 2048 * big), (100, 1, 7, big * big), (100, 2, 100, 2048 * big), (100, 2, 100, 2048 * big)]
+    rows = topk.sparse_rows(table.select("vec_id", table["embedding"].alias("embedding")).selectExpr("vec_id", "transform(embedding, x -> x * 1000) as embedding"), "vec_id", "embedding")
+    with pytest.raises(Exception, match="(?i)too (big|large)|overflow|out of bounds|int"):
+        topk.exact_topk(rows.where("id = 7"), rows, 2).collect()
 
 
 def test_mixing(docs):
@@ -308,11 +320,9 @@ def test_empty_tables(spark, none):
 
 
 def test_words_outside_the_core_are_classed_by_their_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(class_lm, "CORE_WORDS", 2)
-    monkeypatch.setattr(class_lm, "ITEMS", 1 + 2 + class_lm.ENDINGS)
     rng = random.Random(11)
-    nouns, verbs = ([f"{rng.randrange(10**9)}{k}{rng.randrange(10**6)}" for _ in range(60)] for k in "nv")
-    texts = [" ".join(w for _ in range(30) for w in ("the", rng.choice(nouns), "so", rng.choice(verbs))) for _ in range(150)]
+    nouns, verbs = ([f"{rng.randrange(10**9)}{k}{rng.randrange(10**6)}" for _ in range(1200)] for k in "nv")
+    texts = [" ".join(w for _ in range(30) for w in ("the", rng.choice(nouns), "so", rng.choice(verbs))) for _ in range(400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     seen = []
     real = class_lm.materialize
@@ -321,8 +331,9 @@ def test_words_outside_the_core_are_classed_by_their_neighbours(spark, monkeypat
     got = class_lm.score_documents(docs, n_classes=6).collect()
     final = next(df for df in seen if "bigrams" in df.columns).select("classes", "chunk").collect()
     words = {r.chunk: class_lm.load_words(r.words) for r in seen[0].select("chunk", "words").collect()}
-    classes = [dict(zip(words[r.chunk], class_lm.unsqueeze(r["classes"], np.uint8).tolist())) for r in final]
-    assert all(len({c[w.encode()] for w in kind if w.encode() in c}) == 1 for c in classes for kind in (nouns, verbs))
-    assert classes[0][nouns[0].encode()] != classes[0][verbs[0].encode()]
+    classes = {w: c for r in final for w, c in zip(words[r.chunk], class_lm.unsqueeze(r["classes"], np.uint8).tolist())}
+    of = [collections.Counter(classes[w.encode()] for w in kind if w.encode() in classes) for kind in (nouns, verbs)]
+    mixed = sum(min(of[0][c], of[1][c]) for c in range(6))
+    assert mixed < 0.02 * sum(of[0].values())  # by endings alone it would be near a half of those outside the core
     held = [r for r in got if r.held_out]
-    assert held and sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held) and len({c[nouns[0].encode()] for c in classes}) == 1
+    assert held and sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)

@@ -1,5 +1,7 @@
 """Each operator does its whole job where a bound of its own used to cut it."""
 
+import gzip
+
 import numpy as np
 import pytest
 
@@ -31,3 +33,29 @@ def test_warc_raises_where_a_chain_breaks(spark, tmp_path):
     (tmp_path / "bad.warc").write_bytes(record % 5 + record % 7 + record % 5)
     with pytest.raises(ValueError, match="1 archives"):
         warc.read_warc(spark, str(tmp_path))
+
+
+def test_warc_reads_gzipped_archives(spark, tmp_path):
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 7\r\n\r\nWARC/1.\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record) * 3)
+    assert [(r.type, r.payload_bytes) for r in warc.read_warc(spark, str(tmp_path)).collect()] == [("resource", 7)] * 3
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_warc_revisits_by_either_way_and_above_a_size(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", broadcast)
+    rows = [(3, "u", "long enough"), (1, "u", "long enough"), (None, "u", "long enough"), (2, "u", "short"), (4, "u", "short"), (5, None, None), (6, "u", "x WARC/1.1\r\n y")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.warc_round_trip(table, min_revisit_bytes=6).collect()}
+    assert got == {(1, "response", None), (3, "revisit", 1), (None, "revisit", 1), (2, "response", None), (4, "response", None), (5, "response", None), (6, "response", None)}
+
+
+def test_quality_learns_from_bounded_lines_and_not_from_their_number_of_labels(spark):
+    texts = [(i, "\n".join(["A good line of text that ends well."] * 3) if i % 4 else "%%% $$$\n### ***\n" * 2) for i in range(400)] + [(1000, "word\n" * 5000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    few = docs.selectExpr("doc_id", "cast(doc_id % 4 > 0 as int) as quality")
+    scores = {}
+    for n, labels in ((1, few), (10, few.union(spark.range(10**6, 10**6 + 3600).selectExpr("id", "cast(id % 4 > 0 as int)")))):
+        scores[n] = {r.doc_id: r.score for r in quality.classify_quality(docs, labels, sample_docs=200 * n, sample_lines=2000).collect()}
+    assert all(abs(scores[1][i] - scores[10][i]) < 0.1 for i in range(400))
+    assert min(s for i, s in scores[1].items() if i < 400 and i % 4) > 0.5 > max(s for i, s in scores[1].items() if i < 400 and not i % 4)
