@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +127,7 @@ def encode_words(buckets: DataFrame, shared) -> DataFrame:
     """
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         spec = shared.value
         tokenizer = Tokenizer.from_str(spec)
         known: dict[bytes, bytes] = {}
