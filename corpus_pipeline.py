@@ -66,7 +66,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        out = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", "zstd")
         if last is not None:
             discard(last)
         docs = last = out

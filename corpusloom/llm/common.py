@@ -47,15 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "uncompressed") -> DataFrame:
     """Write df as a scratch table and read it back; :func:`discard` deletes it.
 
-    Not zstd: its native buffers outlive the writers, beside the heap of a long-lived executor.
+    Not compressed: codecs hold native buffers that outlive their readers and writers, beside the heap of a long-lived executor, and what is
+    written is mostly hashes or already compressed.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

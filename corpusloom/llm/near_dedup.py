@@ -24,6 +24,8 @@ BANDS, BAND_ROWS = 25, 5
 TILE, MEMO = 2048, 500_000
 #: Bits of a sketch, one for each of as many MinHash values, and the deviations by which a pair at the threshold may miss it: 4.5, by chance 3 in a million.
 SKETCH, DEVIATIONS = 2048, 4.5
+#: Longs of a sketch that are looked at first.
+QUICK = 4
 _RNG = np.random.default_rng(42)
 FACTORS = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2)
@@ -127,10 +129,10 @@ def sketched(sets: DataFrame) -> DataFrame:
     return sets.select("node", "hashes").mapInArrow(thrifty(run), "node long, sketch array<long>")
 
 
-def most_apart(threshold: float) -> int:
-    """Bits in which the sketches of a pair of that similarity differ, but for DEVIATIONS."""
+def most_apart(threshold: float, bits: int = SKETCH) -> int:
+    """Of so many bits of their sketches, those in which a pair of that similarity may differ, but for DEVIATIONS."""
     share = (1 - threshold) / 2
-    return int(SKETCH * (share + DEVIATIONS * (share * (1 - share) / SKETCH) ** 0.5))
+    return int(bits * (share + DEVIATIONS * (share * (1 - share) / bits) ** 0.5))
 
 
 def open_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
@@ -143,17 +145,15 @@ def open_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots: Dat
     mixed = counts.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("major")).where("roots > 1").select("bucket", "major")
     placed = placed.join(mixed, "bucket")
     asked = placed.select("node").distinct()
-    words = SKETCH // 64
     wide = sketched(sets.join(asked, "node", "left_semi")).join(nodes.join(asked, "node", "left_semi"), "node")
-    wide = wide.select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(words)], *[F.col("bands")[i].alias(f"b{i}") for i in range(BANDS)])
-    rows = materialize(placed.join(wide, "node"), "near-open")
+    rows = materialize(placed.join(wide.select("node", "sketch", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(QUICK)]), "node"), "near-open")
     x, y = rows.where("root <> major").alias("x"), rows.alias("y")
-    first = F
-    for i in range(BANDS):
-        first = first.when(F.col(f"x.b{i}") == F.col(f"y.b{i}"), i)
-    apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, words)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    differ = lambda u, v: F.bit_count(u.bitwiseXOR(v))
+    quick = sum((differ(F.col(f"x.s{i}"), F.col(f"y.s{i}")) for i in range(1, QUICK)), differ(F.col("x.s0"), F.col("y.s0")))  # part of the sketch, in compiled code
+    apart = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda u, v: differ(u, v)), F.lit(0), lambda s, n: s + n)
+    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda u, v: u == v), True) - 1
     once = (F.col("y.root") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
-    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & (first == F.col("x.band")) & (apart <= most_apart(threshold))
+    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & (quick <= most_apart(threshold, 64 * QUICK)) & (first == F.col("x.band")) & (apart <= most_apart(threshold))
     return x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 

@@ -42,7 +42,7 @@ def warc_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     p = p.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload"))
     narrow = p.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    first = materialize(narrow.where("n > 1 and first_id is not null").drop("n"), "warc-payloads")
+    first = materialize(narrow.where("n > 1 and first_id is not null").drop("n"), "warc-payloads", "zstd")
     p = p.join(F.broadcast(first) if first.count() <= BROADCAST_PAYLOADS else first, "digest", "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     line = lambda *x: F.concat(*[v if isinstance(v, Column) else F.lit(v) for v in x], F.lit(CRLF))
@@ -108,7 +108,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         field("WARC-Type").alias("type"), field("WARC-Record-ID").alias("id"), field("WARC-Refers-To").alias("refers"), field("WARC-Payload-Digest").alias("declared"),
         field("Content-Type").alias("kind"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
     )
-    narrow = materialize(narrow, "warc-pieces")
+    narrow = materialize(narrow, "warc-pieces", "zstd")
     step = F.col("len") + len(MAGIC)
     in_block = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     of_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,18 +120,18 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 def reachable(links: DataFrame) -> DataFrame:
     """(file, off) of links (file, off, next) that the chain from each file's offset 0 reaches, by pointer jumping."""
-    hop = materialize(links.select("file", "off", "next"), "warc-hop")
-    found = materialize(hop.where("off = 0").select("file", "off"), "warc-found")
+    hop = materialize(links.select("file", "off", "next"), "warc-hop", "zstd")
+    found = materialize(hop.where("off = 0").select("file", "off"), "warc-found", "zstd")
     count = found.count()
     while True:
         ahead = found.join(hop, ["file", "off"]).select("file", F.col("next").alias("off"))
         ahead = ahead.join(links.select("file", "off"), ["file", "off"], "left_semi")  # the end of a file is no record
-        grown = materialize(found.union(ahead).distinct(), "warc-found")
+        grown = materialize(found.union(ahead).distinct(), "warc-found", "zstd")
         now = grown.count()
         if now == count:
             return grown
         onward = hop.select("file", F.col("off").alias("next"), F.col("next").alias("beyond"))
-        longer = materialize(hop.join(onward, ["file", "next"]).select("file", "off", F.col("beyond").alias("next")), "warc-hop")
+        longer = materialize(hop.join(onward, ["file", "next"]).select("file", "off", F.col("beyond").alias("next")), "warc-hop", "zstd")
         discard(found)
         discard(hop)
         found, hop, count = grown, longer, now
@@ -159,7 +159,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_warc(spark: SparkSession, path: str) -> DataFrame:
-    at = materialize(candidates(spark, path), "warc-candidates")
+    at = materialize(candidates(spark, path), "warc-candidates", "zstd")
     links = at.where("length is not null and off >= 0").select("file", "off", "next")
     records = at.join(reachable(links), ["file", "off"], "left_semi")
     # the last record's two line breaks may be missing, nothing else
@@ -174,7 +174,7 @@ def _read_warc(spark: SparkSession, path: str) -> DataFrame:
     spans = split.select("file", F.col("off").alias("start"), F.col("next").alias("stop"))
     if spans.isEmpty():
         return records.select(*fields)
-    spans = materialize(spans, "warc-spans")
+    spans = materialize(spans, "warc-spans", "zstd")
     bucket = 1 << 20
     tiles = spans.select("*", F.explode(F.sequence(F.expr(f"start div {bucket}"), F.expr(f"(stop - 1) div {bucket}"))).alias("tile"))
     inside = at.select("file", "block", "row", "off", F.expr(f"off div {bucket}").alias("tile")).alias("c").join(
@@ -190,7 +190,7 @@ def _read_warc(spark: SparkSession, path: str) -> DataFrame:
     full = full.withColumn("http", F.when(F.coalesce("kind", F.lit("")).startswith("application/http"), _blank_line("body")).otherwise(0))
     full = full.withColumn("payload", F.when(F.col("http") > 0, F.expr("substring(body, http + 4)")).otherwise(F.col("body")))
     full = full.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    return materialize(records.where("whole").select(*fields).union(full.select(*fields)), "warc-read")
+    return materialize(records.where("whole").select(*fields).union(full.select(*fields)), "warc-read", "zstd")
 
 
 def warc_round_trip(pages: DataFrame, min_revisit_bytes: int = 0, path: str | None = None) -> DataFrame:
