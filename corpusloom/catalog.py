@@ -25,4 +25,6 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-from corpusloom.queries import gap_queries, text_queries, report_queries, vector_queries, dsl_queries, source_queries  # noqa: E402, F401
+from corpusloom.queries import (  # noqa: E402, F401
+    gap_queries, text_queries, report_queries, vector_queries, dsl_queries, source_queries, entity_queries, decision_queries, passage_queries, discovery_queries, workflow_queries, file_queries, stream_queries,
+)

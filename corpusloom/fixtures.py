@@ -23,7 +23,7 @@ VIEWS: dict[str, str] = {
     "usage": "SELECT l_orderkey AS paper_id, p_name AS canonical, p_type AS kind FROM lineitem JOIN part ON l_partkey = p_partkey",
     "results": "SELECT l_orderkey AS paper_id, l_returnflag AS metric, p_brand AS dataset, l_linestatus AS split, l_quantity / 50 AS value FROM lineitem JOIN part ON l_partkey = p_partkey",
     "cites": "SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem",
-    "graph": "SELECT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem WHERE l_suppkey % 7 <> 0",
+    "graph": "SELECT l_suppkey AS src, l_partkey % (SELECT 2 * count(*) FROM supplier) AS dst FROM lineitem",
     "claims": """SELECT vec_id AS claim_id, vec_id % 50 AS paper_id, label AS cluster_id,
         CASE vec_id % (2 + label % 4) WHEN 0 THEN 'theorises' WHEN 1 THEN 'extends' WHEN 2 THEN 'validates' WHEN 3 THEN 'challenges' ELSE 'asserts' END AS stance,
         CASE vec_id % 6 WHEN 0 THEN 'finding' WHEN 1 THEN 'limitation' WHEN 2 THEN 'framework' WHEN 3 THEN 'method' WHEN 4 THEN 'future' ELSE 'finding' END AS claim_type,
@@ -33,6 +33,10 @@ VIEWS: dict[str, str] = {
     "texts": """SELECT d.doc_id AS paper_id, substr(d.text, 1, 80) AS title, d.text AS abstract, d.source AS venue, 2015 + d.doc_id % 10 AS year, d.lang,
         CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'include' WHEN l.quality = 1 THEN 'maybe' WHEN l.quality = 0 THEN 'exclude' ELSE '' END AS triage_label
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "scores": "SELECT l_orderkey AS paper_id, l_returnflag AS field, p_type AS label, max(l_quantity / 50) AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, l_returnflag, p_type",
+    "reports": """SELECT l_orderkey AS paper_id, l_linenumber * 100000000 + l_partkey AS sentence_idx, p_name AS name, l_returnflag, l_linestatus, l_quantity, l_partkey,
+        'On the ' || p_name || ' ' || CASE l_returnflag WHEN 'A' THEN 'test' WHEN 'N' THEN 'validation' ELSE 'training' END || ' set the ' || CASE l_linestatus WHEN 'F' THEN 'F1 score' ELSE 'accuracy' END || ' reaches '
+        || CAST(CAST(l_quantity AS INT) AS VARCHAR(4)) || '.5 % for n = ' || CAST(l_partkey AS VARCHAR(12)) || ' cases.' AS sentence FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "vectors": "SELECT e.vec_id AS id, e.embedding, e.label, l.quality FROM embeddings e LEFT JOIN labels l ON e.vec_id = l.doc_id",
 }
 

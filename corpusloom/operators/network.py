@@ -2,42 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.operators.common import top
+from corpusloom.scratch import cut_lineage
 
 
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder of spark.checkpoint.dir (our own where unset) and read it back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = str(Path(tempfile.mkdtemp(prefix="corpusloom-")))
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shared_pairs(edges: DataFrame, of: str, by: str, min_strength: int) -> DataFrame:
+def shared_pairs(edges: DataFrame, of: str, by: str, min_strength: int, hub: int = 1000) -> DataFrame:
     """(a, b, strength): pairs of ``of`` with at least min_strength distinct ``by`` in common.
 
-    A self-join on ``by`` after distinct, so it shuffles on that key once; only
-    ``by`` that have two or more ``of`` take part, and ``of`` that could reach
-    min_strength at all.
+    A self-join on ``by`` after distinct; only ``of`` that could reach min_strength at all take part. A ``by`` of more than ``hub``
+    is dealt over several tasks: one side by a salt, the other to each of its salts.
     """
     pairs = edges.select(F.col(of).alias("x"), F.col(by).alias("k")).where("x is not null and k is not null").distinct()
     if min_strength > 1:
         enough = pairs.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= min_strength).select("x")
         pairs = pairs.join(enough, "x", "left_semi")
-    left, right = pairs.select(F.col("x").alias("a"), "k"), pairs.select(F.col("x").alias("b"), "k")
-    return left.join(right, "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("strength")).where(F.col("strength") >= min_strength)
+    degree = pairs.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.ceil(F.col("n") / hub).cast("int").alias("salts"))
+    pairs = cut_lineage(pairs.join(degree, "k"), "pairs")
+    left = pairs.select(F.col("x").alias("a"), "k", F.pmod(F.xxhash64("x"), "salts").cast("int").alias("salt"))
+    right = pairs.select(F.col("x").alias("b"), "k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return left.join(right, ["k", "salt"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("strength")).where(F.col("strength") >= min_strength)
 
 
 def co_citation(edges: DataFrame, min_strength: int = 2, limit: int = 40) -> DataFrame:

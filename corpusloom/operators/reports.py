@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.scale import eligible
+from corpusloom.scratch import cut_lineage
 
 
 def field_coverage(papers: DataFrame, fields: DataFrame) -> DataFrame:
@@ -98,15 +99,33 @@ def uncategorised(papers: DataFrame, categories: DataFrame) -> DataFrame:
     return papers.where(eligible()).join(categories, "paper_id", "left_anti").select("paper_id", "year")
 
 
+def at_places(values: DataFrame, column: str, group: str, places: DataFrame, n_bins: int = 1024) -> DataFrame:
+    """(group, place, column): each group's value in a place, from 0, of the ascending order; places (group, place).
+
+    Equal values are counted first. Each group's range is cut into bins; running sums over the bins tell which one a place falls into, and
+    only the values of those bins are sorted. Nulls do not count.
+    """
+    counts = values.where(F.col(column).isNotNull()).groupBy(group, column).agg(F.count("*").alias("n"))
+    span = counts.groupBy(group).agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(n_bins - 1), F.floor((F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo")) * n_bins))).otherwise(0).cast("int")
+    binned = cut_lineage(counts.join(F.broadcast(span), group).select(group, column, "n", bin_.alias("bin")), "places")
+    sums = binned.groupBy(group, "bin").agg(F.sum("n").alias("n"))
+    upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(group).orderBy("bin"))).select(group, "bin", (F.col("upto") - F.col("n")).alias("before"), "upto")
+    asked = places.join(upto, group).where("place >= before and place < upto").select(group, "place", "bin", "before")
+    order = Window.partitionBy(group, "place").orderBy(column)
+    inside = binned.join(F.broadcast(asked), [group, "bin"]).withColumn("end", F.sum("n").over(order) + F.col("before"))  # a few places a group
+    return inside.where("place < end and place >= end - n").select(group, "place", column)
+
+
 def quantiles(values: DataFrame, column: str, group: str, p: float) -> DataFrame:
     """Three definitions: interpolated, by floor of the index, and the upper median."""
-    order = Window.partitionBy(group).orderBy(column)
-    everyone = Window.partitionBy(group)
-    ranked = values.where(F.col(column).isNotNull()).select(group, column).withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(everyone))
-    at = lambda index: F.max(F.when(F.col("i") == index, F.col(column)))
-    by_index = ranked.groupBy(group).agg(at(F.least(F.col("n") - 1, F.floor(F.col("n") * p))).alias("floor_index"), at(F.floor(F.col("n") / 2)).alias("upper_median"))
-    interpolated = values.groupBy(group).agg(F.percentile(column, p).alias("interpolated"))
-    return by_index.join(interpolated, group)
+    n = cut_lineage(values.where(F.col(column).isNotNull()).groupBy(group).agg(F.count("*").alias("n")), "quantiles")
+    of = {"floor_index": F.least(F.col("n") - 1, F.floor(F.col("n") * p)), "upper_median": F.floor(F.col("n") / 2), "lower": F.floor((F.col("n") - 1) * p), "upper": F.ceil((F.col("n") - 1) * p)}
+    places = n.select(group, F.explode(F.array_distinct(F.array(*[c.cast("long") for c in of.values()]))).alias("place"))
+    found = at_places(values, column, group, places)
+    at = n.join(found, group).groupBy(group, "n").agg(*[F.max(F.when(F.col("place") == c.cast("long"), F.col(column))).alias(k) for k, c in of.items()])
+    part = (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
+    return at.select(group, "floor_index", "upper_median", (F.col("lower") + part * (F.col("upper") - F.col("lower"))).alias("interpolated"))
 
 
 def histogram(values: DataFrame, column: str, lo: float, hi: float, width: float) -> DataFrame:
@@ -130,9 +149,10 @@ def threshold_sweep(scored: DataFrame, score: str, truth: str, thresholds: list[
 
 def min_max(values: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """Adds ``scaled``: to 0..1, 1 where all are equal."""
-    w = Window.partitionBy(*(by or []))
-    lo, hi = F.min(column).over(w), F.max(column).over(w)
-    return values.withColumn("scaled", F.when(hi == lo, 1.0).otherwise((F.col(column) - lo) / (hi - lo)))
+    span = values.groupBy(*(by or [])).agg(F.min(column).alias("lo_"), F.max(column).alias("hi_"))
+    joined = values.join(span, by) if by else values.crossJoin(F.broadcast(span))  # one row
+    scaled = F.when(F.col("hi_") == F.col("lo_"), 1.0).otherwise((F.col(column) - F.col("lo_")) / (F.col("hi_") - F.col("lo_")))
+    return joined.withColumn("scaled", scaled).select(*values.columns, "scaled")
 
 
 def character_budget(chunks: DataFrame, paper: str, order: list, text: str, budget: int) -> DataFrame:

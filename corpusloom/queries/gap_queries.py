@@ -172,21 +172,6 @@ def p4_practical(spark, sf_dir):
     return phase4.practical(view(spark, sf_dir, "claims")).withColumn("salience", F.col("salience").cast("double")).drop("signature")
 
 
-@register(
-    "p4_run_all",
-    "SELECT * FROM (" + " UNION ALL ".join(
-        [
-            "SELECT 'empirical' AS type, 'empirical:cluster_id=' || cluster_id AS signature, salience::DOUBLE AS salience FROM (" + ORACLE_SQL["p4_empirical"] + ")",
-            "SELECT 'knowledge', 'knowledge:method_cluster_id=' || method_cluster_id || '|paper_cluster_id=' || paper_cluster_id, salience::DOUBLE FROM (" + ORACLE_SQL["p4_knowledge"] + ")",
-            "SELECT 'evidence', 'evidence:dataset=' || dataset || '|metric=' || metric, salience::DOUBLE FROM (" + ORACLE_SQL["p4_evidence"] + ")",
-        ]
-    ) + ") ORDER BY salience DESC, signature LIMIT 100",
-)
-def p4_run_all(spark, sf_dir):
-    clustered, claims, results = (view(spark, sf_dir, v) for v in ("clustered", "claims", "results"))
-    return phase4.run({"empirical": phase4.empirical(claims), "knowledge": phase4.knowledge(clustered), "evidence": phase4.evidence(results)})
-
-
 @register(
     "net_co_citation",
     with_views("cites") + ", c AS (SELECT DISTINCT src, dst FROM cites) SELECT x.dst AS a, y.dst AS b, count(*) AS strength FROM c x JOIN c y ON x.src = y.src AND x.dst < y.dst GROUP BY ALL HAVING count(*) >= 2 ORDER BY strength DESC, a, b LIMIT 40",
@@ -224,10 +209,10 @@ def net_pagerank_converged(spark, sf_dir):
 
 @register(
     "net_triangulation",
-    with_views("papers", "cites") + "SELECT dst, count(DISTINCT src) AS n_citing FROM cites JOIN papers p ON src = p.paper_id WHERE triage_label = 'include' AND dst NOT IN (SELECT paper_id FROM papers) GROUP BY 1 HAVING n_citing >= 2 ORDER BY n_citing DESC, dst LIMIT 30",
+    with_views("papers", "cites") + "SELECT dst, count(DISTINCT src) AS n_citing FROM cites JOIN papers p ON src = p.paper_id WHERE price > 50000 AND triage_label = 'include' AND dst NOT IN (SELECT paper_id FROM papers WHERE price > 50000) GROUP BY 1 HAVING n_citing >= 2 ORDER BY n_citing DESC, dst LIMIT 30",
 )
 def net_triangulation(spark, sf_dir):
-    return network.triangulation(view(spark, sf_dir, "cites"), view(spark, sf_dir, "papers"))
+    return network.triangulation(view(spark, sf_dir, "cites"), view(spark, sf_dir, "papers").where("price > 50000"))
 
 
 @register(

@@ -19,10 +19,10 @@ def merge_by_key(spark, sf_dir):
     return merge.merge_by_key(rows, "doi", "at", ["venue"], "source")
 
 
-@register("merge_new_rows", with_views("papers", "cites") + "SELECT DISTINCT dst AS paper_id FROM cites WHERE dst NOT IN (SELECT paper_id FROM papers)")
+@register("merge_new_rows", with_views("papers", "cites") + "SELECT DISTINCT dst AS paper_id FROM cites WHERE dst NOT IN (SELECT paper_id FROM papers WHERE triage_label = 'include')")
 def merge_new_rows(spark, sf_dir):
     candidates = view(spark, sf_dir, "cites").select(F.col("dst").alias("paper_id")).distinct()
-    return merge.new_rows(candidates, view(spark, sf_dir, "papers"), ["paper_id"])
+    return merge.new_rows(candidates, view(spark, sf_dir, "papers").where("triage_label = 'include'"), ["paper_id"])
 
 
 @register(

@@ -72,5 +72,4 @@ def vec_quantised(spark, sf_dir):
 @register("vec_communities")
 def vec_communities(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    found = V.communities(V.pairs_above(rows, 0.35), rows.select("id"), 3)
-    return spark.createDataFrame([(i, len(c), c) for i, c in enumerate(found)], "community int, size int, members array<long>")
+    return V.communities(V.pairs_above(rows, 0.35), rows.select("id"), 3)
