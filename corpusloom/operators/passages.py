@@ -96,7 +96,7 @@ def section_tree(sections: DataFrame) -> DataFrame:
 ABBREVIATIONS = "et al|e.g|i.e|cf|etc|vs|fig|eq|no|vol|dr|mr|mrs|ms|prof|jr|sr|ref|sec|al|pp|p|inc|ltd|co".split("|")
 _ABBREVIATED = "|".join(re.escape(a) for a in ABBREVIATIONS)
 #: White space between two sentences: after a closing mark that belongs to no abbreviation, before anything but a small letter.
-SENTENCE_GAP = rf"(?<=[.!?])(?<!(?i:(?:^|[^a-z])(?:{_ABBREVIATED}))[.!?])\s+(?![a-z])"
+SENTENCE_GAP = rf"(?<=[.!?])(?<!(?i:(?:^|[^a-z])(?:{_ABBREVIATED}))[.!?])\s++(?![a-z])"
 
 
 def sentence_at(text: Column, offset: Column) -> Column:

@@ -16,7 +16,7 @@ def ends_sentence(text, i):
     if not text[i + 1].isspace() or re.match(r"[a-z]", text[i + 1 :].lstrip()):
         return False
     before = text[:i].lower()
-    return not any(before.endswith(a) and not re.search(r"[a-z]$", before[: len(before) - len(a)]) for a in P.ABBREVIATIONS)
+    return not any(before.endswith(a) and not re.search(r"[a-z]\Z", before[: len(before) - len(a)]) for a in P.ABBREVIATIONS)
 
 
 def sentence(text, offset):
