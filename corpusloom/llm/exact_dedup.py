@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import SPACE, materialize, thrifty
+from corpusloom.llm.common import SPACE, give_back, materialize, thrifty
 
-#: Duplicate fingerprints up to this many (16 MB) are broadcast; beyond, the join shuffles.
+#: Duplicate fingerprints up to this many (16 MB) are broadcast; beyond, texts are shuffled by fingerprint once.
 BROADCAST_FINGERPRINTS = 2_000_000
 
 
@@ -30,45 +30,77 @@ def normalised(text: Column) -> Column:
 
 
 class CountingQuotientFilter:
-    """Sorted (quotient, remainder) slots with counts; ``quotient_bits`` high bits address a run.
+    """Sorted runs of remainders with counts, one run for each quotient that occurs.
 
-    ``occupied`` holds the quotients that have a run, ``run_end`` the slot after
-    each run's last, ``remainders`` and ``counts`` the slots, sorted within runs.
+    ``quotients`` holds the quotients (high bits) that have a run, ascending; ``lengths`` the slots of each run;
+    ``remainders`` (low bits) and ``counts`` the slots, run after run, ascending within each.
     """
 
-    def __init__(self, quotient_bits: int, occupied, run_end, remainders, counts):
-        self.quotient_bits, self.occupied, self.run_end, self.remainders, self.counts = quotient_bits, occupied, run_end, remainders, counts
+    def __init__(self, bits: int, quotients: np.ndarray, lengths: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
+        self.bits, self.quotients, self.lengths, self.remainders, self.counts = bits, quotients, lengths, remainders, counts
 
     @classmethod
-    def build(cls, fingerprints: np.ndarray, quotient_bits: int, counts: np.ndarray | None = None):
-        """From unsigned 64-bit fingerprints, repeats included."""
-        order = np.argsort(fingerprints, kind="stable")
-        fp = fingerprints[order]
-        weight = np.ones(len(fp), np.int64) if counts is None else counts[order]
-        first = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else np.zeros(0, np.int64)
-        slots = fp[first]
-        total = np.add.reduceat(weight, first) if len(fp) else weight
-        shift = np.uint64(64 - quotient_bits)
-        quotient = slots >> shift
-        starts = np.flatnonzero(np.r_[True, quotient[1:] != quotient[:-1]]) if len(slots) else np.zeros(0, np.int64)
-        return cls(quotient_bits, quotient[starts], np.r_[starts[1:], len(slots)], slots & ((np.uint64(1) << shift) - np.uint64(1)), total)
+    def build(cls, fingerprints: np.ndarray, bits: int):
+        """From unsigned 64-bit fingerprints, repeats included; ``bits`` of them are the quotient."""
+        slots, counts = np.unique(fingerprints, return_counts=True)
+        shift = np.uint64(64 - bits)
+        quotients, lengths = np.unique(slots >> shift, return_counts=True)
+        return cls(bits, quotients.astype(np.uint64), lengths, slots & ((np.uint64(1) << shift) - np.uint64(1)), counts.astype(np.int64))
+
+    def slots(self) -> np.ndarray:
+        """The quotient of each slot."""
+        return np.repeat(self.quotients, self.lengths)
+
+    def segments(self, bits: int) -> Iterator[tuple[int, bytes]]:
+        """(segment, packed filter) for each range of quotients that has runs: ``bits`` high bits of the quotient."""
+        at = (self.quotients >> np.uint64(self.bits - bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+        ends = np.r_[0, np.cumsum(self.lengths)]
+        for lo, hi in zip(cuts.tolist(), np.r_[cuts[1:], len(at)].tolist()):
+            a, b = int(ends[lo]), int(ends[hi])
+            yield int(at[lo]), CountingQuotientFilter(self.bits, self.quotients[lo:hi], self.lengths[lo:hi], self.remainders[a:b], self.counts[a:b]).pack()
+
+    def pack(self) -> bytes:
+        """Quotients, run lengths and counts in four bytes each, remainders in as many as they need."""
+        width = -(-(64 - self.bits) // 8)
+        parts = [np.array([len(self.quotients), len(self.remainders)], "<u4"), self.quotients.astype("<u4"), self.lengths.astype("<u4"), self.counts.astype("<u4")]
+        return b"".join(p.tobytes() for p in parts) + np.ascontiguousarray(self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
-    def fingerprints(self) -> np.ndarray:
-        runs = np.diff(np.r_[0, self.run_end]) if len(self.occupied) else np.zeros(0, np.int64)
-        return (np.repeat(self.occupied, runs) << np.uint64(64 - self.quotient_bits)) | self.remainders
-
-    def segments(self, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(segment, fingerprints, counts) for each range of quotients that has slots."""
-        fp = self.fingerprints()
-        at = (fp >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(fp), np.int64)
-        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(fp) else np.zeros(0, np.int64)
-        for lo, hi in zip(cuts, np.r_[cuts[1:], len(fp)]):
-            yield int(at[lo]), fp[lo:hi], self.counts[lo:hi]
+    @classmethod
+    def unpack(cls, data: bytes, bits: int):
+        runs, n = np.frombuffer(data, "<u4", 2).tolist()
+        quotients, lengths, counts = (np.frombuffer(data, "<u4", size, 4 * at) for size, at in ((runs, 2), (runs, 2 + runs), (n, 2 + 2 * runs)))
+        width = -(-(64 - bits) // 8)
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(data, np.uint8, n * width, 4 * (2 + 2 * runs + n)).reshape(n, width)
+        return cls(bits, quotients.astype(np.uint64), lengths.astype(np.int64), wide.view("<u8").ravel().astype(np.uint64), counts.astype(np.int64))
+
+    def merged(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Both as one: runs of a quotient that both have are merged by their sorted remainders, and counts of equal slots added. Nothing is lost."""
+        shift = np.uint64(64 - self.bits)
+        # runs are in the order of quotients and sorted within, so (quotient, remainder) ascends over all slots of either
+        mine, theirs = (self.slots() << shift) | self.remainders, (other.slots() << shift) | other.remainders
+        place = np.searchsorted(mine, theirs)
+        equal = np.zeros(len(theirs), bool)
+        inside = place < len(mine)
+        equal[inside] = mine[place[inside]] == theirs[inside]
+        counts = self.counts.copy()
+        counts[place[equal]] += other.counts[equal]
+        new = ~equal
+        slots = np.insert(mine, place[new], theirs[new])
+        counts = np.insert(counts, place[new], other.counts[new])
+        quotients, lengths = np.unique(slots >> shift, return_counts=True)
+        return CountingQuotientFilter(self.bits, quotients, lengths, slots & ((np.uint64(1) << shift) - np.uint64(1)), counts)
 
     @classmethod
-    def merge(cls, parts: list[tuple[np.ndarray, np.ndarray]], quotient_bits: int):
-        """One filter from the (fingerprints, counts) of several, by sorted remainders."""
-        return cls.build(np.concatenate([p[0] for p in parts]), quotient_bits, np.concatenate([p[1] for p in parts]))
+    def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+        """One filter from several, two by two, so each slot is moved a logarithmic number of times."""
+        while len(filters) > 1:
+            filters = [a.merged(b) for a, b in zip(filters[::2], filters[1::2])] + (filters[-1:] if len(filters) % 2 else [])
+        return filters[0]
+
+    def fingerprints(self) -> np.ndarray:
+        return (self.slots() << np.uint64(64 - self.bits)) | self.remainders
 
 
 def repeated_fingerprints(fingerprints: DataFrame, n_rows: int, quotient_bits: int = 24) -> DataFrame:
@@ -81,9 +113,7 @@ def repeated_fingerprints(fingerprints: DataFrame, n_rows: int, quotient_bits: i
 
         def out():
             rows = list(CountingQuotientFilter.build(np.concatenate(held), quotient_bits).segments(bits)) if held else []
-            return pa.RecordBatch.from_pydict(
-                {"segment": pa.array([r[0] for r in rows], pa.int64()), "slots": pa.array([r[1].tobytes() for r in rows], pa.binary()), "counts": pa.array([r[2].tobytes() for r in rows], pa.binary())}
-            )
+            return pa.RecordBatch.from_pydict({"segment": pa.array([r[0] for r in rows], pa.int64()), "filter": pa.array([r[1] for r in rows], pa.binary())})
 
         for b in batches:
             held.append(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
@@ -92,12 +122,13 @@ def repeated_fingerprints(fingerprints: DataFrame, n_rows: int, quotient_bits: i
                 held = []
         yield out()
 
-    def merge(table):
-        parts = [(np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64)) for s, c in zip(table["slots"].to_pylist(), table["counts"].to_pylist())]
-        whole = CountingQuotientFilter.merge(parts, quotient_bits)
-        return pa.table({"fp": pa.array(whole.fingerprints()[whole.counts > 1].view(np.int64), pa.int64())})
+    def merge(table: pa.Table) -> pa.Table:
+        whole = CountingQuotientFilter.merge([CountingQuotientFilter.unpack(f, quotient_bits) for f in table["filter"].to_pylist()])
+        out = pa.table({"fp": pa.array(whole.fingerprints()[whole.counts > 1].view(np.int64), pa.int64())})
+        give_back()
+        return out
 
-    filters = fingerprints.select("fp").mapInArrow(thrifty(build), "segment long, slots binary, counts binary")
+    filters = fingerprints.select("fp").mapInArrow(thrifty(build), "segment long, filter binary")
     return filters.groupBy("segment").applyInArrow(merge, "fp long")
 
 

@@ -179,17 +179,18 @@ def mix_sources(docs: DataFrame, n_shards: int = 16, block_words: int = 512, see
     """What the mix takes of each document.
 
     Returns one row per input row: doc_id, source, mark, nth, size, source_size,
-    target, taken. A null source is a source of its own, after the others. Null
+    target, taken, shards (the words that each shard's draws have of it; null where none is taken). A null source is a source of its own, after the others. Null
     and wordless texts have size 0 and are never taken. Repeated rows are
     documents of their own. An empty table gives an empty result.
     """
     rows = materialize(document_rows(docs), "mix-rows")
     targets = source_targets(rows, weights)
-    taken = mix_plan(rows, n_shards, block_words, seed, weights).groupBy("doc_id", "source", "mark", "nth").agg(F.sum("words").alias("taken"))
+    dealt = mix_plan(rows, n_shards, block_words, seed, weights).groupBy("doc_id", "source", "mark", "nth", "shard").agg(F.sum("words").alias("words"))
+    taken = dealt.groupBy("doc_id", "source", "mark", "nth").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "words"))).alias("shards"))  # at most n_shards
     r, k, t = rows.alias("r"), taken.alias("k"), targets.alias("t")
     same = F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("r.source").eqNullSafe(F.col("k.source")) & (F.col("r.mark") == F.col("k.mark")) & (F.col("r.nth") == F.col("k.nth"))
     joined = r.join(k, same, "left").join(t, F.col("r.source").eqNullSafe(F.col("t.source")))
-    return joined.select("r.*", "t.source_size", "t.target", F.coalesce("k.taken", F.lit(0).cast("long")).alias("taken"))
+    return joined.select("r.*", "t.source_size", "t.target", F.coalesce("k.taken", F.lit(0).cast("long")).alias("taken"), "k.shards")
 
 
 def mixed_documents(docs: DataFrame, n_shards: int = 16, block_words: int = 512, seed: int = 42, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

@@ -91,10 +91,22 @@ def test_exact_dedup(docs):
 
 def test_quotient_filters_merge_without_loss():
     rng = np.random.default_rng(3)
-    parts = [rng.integers(0, 2**63, 500).astype(np.uint64) % 997 * np.uint64(2**54 + 1) for _ in range(4)]
+    parts = [rng.integers(0, 2**63, 500).astype(np.uint64) % 997 * np.uint64(2**54 + 1) for _ in range(5)] + [np.zeros(0, np.uint64)]
     filters = [exact_dedup.CountingQuotientFilter.build(p, 12) for p in parts]
-    merged = exact_dedup.CountingQuotientFilter.merge([(f.fingerprints(), f.counts) for f in filters], 12)
-    assert dict(zip(merged.fingerprints().tolist(), merged.counts.tolist())) == collections.Counter(np.concatenate(parts).tolist())
+    again = [exact_dedup.CountingQuotientFilter.unpack(f.pack(), 12) for f in filters]
+    merged = exact_dedup.CountingQuotientFilter.merge(again)
+    want = collections.Counter(np.concatenate(parts).tolist())
+    assert dict(zip(merged.fingerprints().tolist(), merged.counts.tolist())) == want and (np.diff(merged.fingerprints().astype(object)) > 0).all()
+    pieces = [p for f in filters for p in f.segments(3)]
+    assert {s for s, _ in pieces} <= set(range(8))
+    by = {s: exact_dedup.CountingQuotientFilter.merge([exact_dedup.CountingQuotientFilter.unpack(p, 12) for t, p in pieces if t == s]) for s, _ in pieces}
+    assert sum((collections.Counter(dict(zip(f.fingerprints().tolist(), f.counts.tolist()))) for f in by.values()), collections.Counter()) == want
+
+
+def test_exact_dedup_without_a_broadcast_gives_the_same(docs, monkeypatch):
+    few = sorted(map(str, exact_dedup.exact_dedup(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_FINGERPRINTS", 0)
+    assert sorted(map(str, exact_dedup.exact_dedup(docs).collect())) == few
 
 
 def test_topk(spark):
@@ -129,7 +141,7 @@ def test_mixing(docs):
     assert sorted(map(str, got)) == sorted(map(str, again))
     by = collections.defaultdict(list)
     for r in got:
-        assert 0 <= r.taken <= 3 * r.size
+        assert 0 <= r.taken <= 3 * r.size and r.taken == sum(s.words for s in r.shards or ())
         by[r.source].append(r)
     total = sum(r.size for r in got)
     left = {s: (w, v[0].source_size) for w, (s, v) in zip(itertools.cycle((1, 2, 3)), sorted(by.items(), key=lambda x: (x[0] is None, x[0] or "")))}
