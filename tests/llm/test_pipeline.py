@@ -5,6 +5,7 @@ import itertools
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -44,3 +45,20 @@ def test_near_stage_drops_copies_of_similarity_080(spark):
             root = [lo if r == hi else r for r in root]
     got = sorted(r.doc_id for r in corpus_pipeline.stage_simhash(spark, table(spark, rows), "").collect())
     assert got == sorted(set(root)) and len(got) < len(rows)
+
+
+def test_all_stages_on_odd_rows_and_on_an_empty_table(spark, tmp_path):
+    rng = random.Random(12)
+    english, german = ("the of and to in is that for it with".split(), "der die und das ist nicht ein auf mit zu".split())
+    rows = []
+    for i in range(60):
+        pool, lang = (english, "en") if i % 2 else (german, "de")
+        rows.append((i, " ".join(rng.choice(pool) + rng.choice("abc") for _ in range(40)), lang, rng.choice(["a", "b", None]), None))
+    rows += [(100, rows[0][1], "de", "a", 3), (None, rows[1][1] + " \n", "en", "b", 3), (101, None, None, None, None), (102, "", "en", "a", 0), (103, "12 34", "en", "a", 0), (1, rows[2][1], None, "b", 1)]
+    spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert out and all(r.decoded_ok and r.n_tokens == len(r.ids) > 0 for r in out)
+    ids = {r.doc_id for r in out}
+    assert not ids & {101, 102, 103} and 100 not in ids  # no letters, or a copy of a smaller id
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
