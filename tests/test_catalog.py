@@ -11,7 +11,10 @@ from corpusloom import catalog
 from corpusloom.fixtures import TABLES
 
 SF = Path("/root/testdata/sf0.001")
-CHECKED = ["gap_evidence", "gap_knowledge", "gap_practical", "p4_run_all", "net_coupling", "trend_temporal", "dsl_results", "report_matrix", "report_prisma", "txt_bm25", "txt_chunks", "vec_lof"]
+CHECKED = [
+    "gap_evidence", "gap_knowledge", "gap_practical", "gap_run_all", "p4_run_all", "net_coupling", "net_triangulation", "trend_temporal", "dsl_results", "report_matrix", "report_prisma", "txt_bm25", "txt_chunks", "txt_ngram_novelty",
+    "txt_contained_quotes", "txt_section_tree", "txt_mined_results", "er_canonicalise", "dec_bool_signals", "vec_lof", "vec_recommend", "ing_paper_view", "src_notes", "src_openalex_works", "src_tei_blocks", "str_resumed", "reg_coherence",
+]
 
 
 def canon(x):
