@@ -11,8 +11,8 @@ def test_rows_of_many_neighbours_keep_all_members(spark, monkeypatch):
     data = [(i, (np.eye(8)[0 if i < 30 else 1] + rng.normal(size=8) / 50).tolist()) for i in range(50)]
     rows = spark.createDataFrame(data, "id long, embedding array<double>")
     monkeypatch.setattr(vector_queries, "_rows", lambda spark, sf_dir: rows)
-    got = vector_queries.vec_communities(spark, "").orderBy("community").collect()
-    assert [(r["size"], r.members) for r in got] == [(30, list(range(30))), (20, list(range(30, 50)))]
+    got = [(r.community, r["size"], r.id) for r in vector_queries.vec_communities(spark, "").orderBy("community", "id").collect()]
+    assert got == [(0, 30, i) for i in range(30)] + [(1, 20, i) for i in range(30, 50)]
 
 
 def test_pairs_above_matches_brute_force_over_blocks(spark):
