@@ -105,14 +105,14 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of edges (a, b); component: the smallest node reachable.
 
     Alternates large-star and small-star steps, each of them one aggregation and
     one join on narrow rows, until the edge set is a set of stars. Both steps
     only ever replace edges, so the table never outgrows its start; a hot node's
     minimum is pre-aggregated before the shuffle, and adaptive execution splits
-    its side of the join.
+    its side of the join. Rounds grow with the logarithm of the longest path; if they do not end, an error is raised.
     """
     cur = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc"
@@ -137,5 +137,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     stars = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -159,13 +159,13 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, threshold: int = 2, seed: i
     if not 0 <= threshold <= 3:
         raise ValueError("threshold must be 0 to 3")
     rows = materialize(fingerprints(docs, shingle, seed), "simhash")
-    nodes = materialize(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(LAST_ID)).alias("least"), F.count("*").alias("n")), "simhash-fp")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-fp")
     named = nodes.select("fp", F.col("fp").alias("node"))
     found = connected_components(links(named, threshold))
     comp = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
     comp = materialize(comp, "simhash-cc")
     roots = comp.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))
-    by_fp = comp.join(roots, "root").select("fp", F.when(F.col("component_id") < LAST_ID, F.col("component_id")).alias("component_id"), "members")
+    by_fp = comp.join(roots, "root").select("fp", "component_id", "members")
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "members")
 
 

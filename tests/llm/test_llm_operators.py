@@ -349,3 +349,9 @@ def test_words_outside_the_core_are_classed_by_their_neighbours(spark, monkeypat
     assert mixed < 0.02 * sum(of[0].values())  # by endings alone it would be near a half of those outside the core
     held = [r for r in got if r.held_out]
     assert held and sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
+
+
+def test_the_largest_id_names_a_component_and_none_does_not(spark):
+    rows = [(2**63 - 1, "some words here"), (None, "others stand there now"), (None, "others stand there now")]
+    got = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.members) for r in got} == {(2**63 - 1, 2**63 - 1, 1), (None, None, 2)}
