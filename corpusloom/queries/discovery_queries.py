@@ -8,6 +8,7 @@ from corpusloom.catalog import register
 from corpusloom.fixtures import view, with_views
 from corpusloom.operators import discovery as D
 from corpusloom.operators import vectors as V
+from corpusloom.operators.decisions import hash_embedder, with_model
 from corpusloom.queries.gap_queries import rounded
 from corpusloom.queries.vector_queries import _N, _NEAR
 
@@ -256,5 +257,6 @@ def vec_dequantised(spark, sf_dir):
 
 @register("vec_seeded_axis")
 def vec_seeded_axis(spark, sf_dir):
+    """Axis values for the documents, from vectors of a stand-in model."""
     texts = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return D.seeded_axis(texts, _rows(spark, sf_dir).select("id", "embedding"), 8)
+    return D.seeded_axis(texts, with_model(texts, "text", hash_embedder(64), "embedding", "array<double>").select("id", "embedding"), 8)
