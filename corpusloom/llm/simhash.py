@@ -137,12 +137,13 @@ def links(nodes: DataFrame, threshold: int) -> DataFrame:
     """Edges (a, b) that connect distinct fingerprints (fp, node) of at most threshold differing bits.
 
     In each anchor visitors meet homes; each link is seen once, at the home of its
-    smaller fingerprint.
+    smaller fingerprint. Spark takes the visitors for as many bytes as their fingerprints, a fraction of what they are, and
+    would broadcast them; so it is told to merge.
     """
     dealt = anchors(nodes, threshold)
     home = dealt.where("home").select("anchor", F.col("fp").alias("hfp"), F.col("node").alias("a"))
     visitor = dealt.select("anchor", F.col("fp").alias("vfp"), F.col("node").alias("b"))
-    met = home.join(visitor, "anchor").where((F.col("hfp") < F.col("vfp")) & (F.bit_count(F.col("hfp").bitwiseXOR(F.col("vfp"))) <= threshold))
+    met = home.join(visitor.hint("merge"), "anchor").where((F.col("hfp") < F.col("vfp")) & (F.bit_count(F.col("hfp").bitwiseXOR(F.col("vfp"))) <= threshold))
     return met.select("a", "b")
 
 

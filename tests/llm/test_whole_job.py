@@ -5,7 +5,7 @@ import gzip
 import numpy as np
 import pytest
 
-from corpusloom.llm import quality, warc
+from corpusloom.llm import quality, simhash, warc
 
 
 def test_quality_sample_and_prior_come_from_all_labels(spark, monkeypatch):
@@ -59,3 +59,8 @@ def test_quality_learns_from_bounded_lines_and_not_from_their_number_of_labels(s
         scores[n] = {r.doc_id: r.score for r in quality.classify_quality(docs, labels, sample_docs=200 * n, sample_lines=2000).collect()}
     assert all(abs(scores[1][i] - scores[10][i]) < 0.1 for i in range(400))
     assert min(s for i, s in scores[1].items() if i < 400 and i % 4) > 0.5 > max(s for i, s in scores[1].items() if i < 400 and not i % 4)
+
+
+def test_simhash_links_are_not_broadcast(spark):
+    nodes = spark.range(1000).selectExpr("xxhash64(id) as fp", "id as node")
+    assert "BroadcastHashJoin" not in simhash.links(nodes, 2)._jdf.queryExecution().executedPlan().toString()
