@@ -146,7 +146,7 @@ def open_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots: Dat
     placed = placed.join(mixed, "bucket")
     asked = placed.select("node").distinct()
     wide = sketched(sets.join(asked, "node", "left_semi")).join(nodes.join(asked, "node", "left_semi"), "node")
-    rows = materialize(placed.join(wide.select("node", "sketch", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(QUICK)]), "node"), "near-open")
+    rows = materialize(placed.join(wide.select("node", "sketch", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(QUICK)]).hint("merge"), "node"), "near-open")  # sketches are more than Spark takes them for
     x, y = rows.where("root <> major").alias("x"), rows.alias("y")
     differ = lambda u, v: F.bit_count(u.bitwiseXOR(v))
     quick = sum((differ(F.col(f"x.s{i}"), F.col(f"y.s{i}")) for i in range(1, QUICK)), differ(F.col("x.s0"), F.col("y.s0")))  # part of the sketch, in compiled code
@@ -154,7 +154,7 @@ def open_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots: Dat
     first = F.array_position(F.zip_with("x.bands", "y.bands", lambda u, v: u == v), True) - 1
     once = (F.col("y.root") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
     meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & (quick <= most_apart(threshold, 64 * QUICK)) & (first == F.col("x.band")) & (apart <= most_apart(threshold))
-    return x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return x.join(y.hint("merge"), meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

@@ -187,7 +187,7 @@ def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, th
     anchored = links(close.select("fp", F.col("least").alias("node")), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     dealt = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     crowds = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(dealt.join(crowds, "bucket"), "near-members")
+    members = materialize(dealt.join(crowds.hint("merge"), "bucket"), "near-members")  # 25 rows a node, which Spark's estimates leave out
     fullest = members.groupBy("node").agg(F.sum("n").alias("pull"))
     hubs = members.join(fullest, "node").groupBy("bucket").agg(F.max_by("node", F.struct("pull", "node")).alias("hub"))
     starred = members.join(hubs, "bucket").where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))

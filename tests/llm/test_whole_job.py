@@ -64,3 +64,12 @@ def test_quality_learns_from_bounded_lines_and_not_from_their_number_of_labels(s
 def test_simhash_links_are_not_broadcast(spark):
     nodes = spark.range(1000).selectExpr("xxhash64(id) as fp", "id as node")
     assert "BroadcastHashJoin" not in simhash.links(nodes, 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_copies_broadcast_no_buckets(spark, monkeypatch):
+    plans = []
+    keep = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or keep(df, name))
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('some words of text ', id % 20, ' and more of them') as text", "string(id) as key")
+    assert simhash.similar_dedup(docs).count() == 60
+    assert "BroadcastHashJoin" not in dict(plans)["near-members"]
