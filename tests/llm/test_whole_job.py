@@ -5,7 +5,7 @@ import gzip
 import numpy as np
 import pytest
 
-from corpusloom.llm import quality, simhash, warc
+from corpusloom.llm import class_lm, quality, simhash, warc
 
 
 def test_quality_sample_and_prior_come_from_all_labels(spark, monkeypatch):
@@ -73,3 +73,15 @@ def test_near_copies_broadcast_no_buckets(spark, monkeypatch):
     docs = spark.range(60).selectExpr("id as doc_id", "concat('some words of text ', id % 20, ' and more of them') as text", "string(id) as key")
     assert simhash.similar_dedup(docs).count() == 60
     assert "BroadcastHashJoin" not in dict(plans)["near-members"]
+
+
+def test_clustering_takes_few_logarithms_and_large_counts(monkeypatch):
+    rng = np.random.default_rng(0)
+    pairs = np.floor(rng.exponential(3, (120, 120)) * (rng.random((120, 120)) < 0.3))
+    pairs[0, 0] = 0
+    sizes, keep = [], class_lm._xlogx
+    monkeypatch.setattr(class_lm, "_xlogx", lambda x: sizes.append(x.size) or keep(x))
+    want = class_lm.exchange(pairs, 24)
+    assert sizes.count(24 * 24) <= 2  # whole tables
+    monkeypatch.setattr(class_lm, "KNOWN_LOGS", 16)
+    assert (class_lm.exchange(pairs, 24) == want).all()
