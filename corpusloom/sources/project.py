@@ -120,6 +120,10 @@ def numbered_ids(rows: DataFrame, used: DataFrame, order: str, width: int = 3) -
     gaps = taken.select("u", (F.col("u") - F.row_number().over(Window.orderBy("u"))).alias("free"))  # free numbers below each used one; people label these rows
     starts = gaps.groupBy("free").agg(F.max("u").alias("last")).select(F.col("free"), (F.col("last") - F.col("free")).alias("skip"))
     k = rows.withColumn("k", F.row_number().over(Window.orderBy(order)))
-    skipped = k.join(F.broadcast(starts), F.col("free") < F.col("k"), "left").groupBy(*[F.col(c) for c in k.columns]).agg(F.coalesce(F.max("skip"), F.lit(0)).alias("skip"))
+    # a row's skip is that of the last start before it: both in one order, with the largest skip so far
+    both = k.select(F.struct(*[F.col(c) for c in rows.columns]).alias("row"), F.col("k").cast("long").alias("at"), F.lit(0).cast("long").alias("skip")).unionByName(
+        starts.select(F.lit(None).alias("row"), (F.col("free") + 1).cast("long").alias("at"), F.col("skip").cast("long").alias("skip"))
+    )
+    skipped = both.withColumn("skip", F.max("skip").over(Window.orderBy("at"))).where("row is not null").select("row.*", F.col("at").alias("k"), "skip")
     number = (F.col("k") + F.col("skip")).cast("string")
     return skipped.select(*rows.columns, F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number).alias("paper_id"))

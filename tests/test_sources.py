@@ -107,3 +107,14 @@ def test_html_and_tei():
     page = "<title>T</title><h1>A <b>b</b></h1><p>one<p>two<br>three<script>no</script><ul><li>i</ul>"
     assert [b[:3] for b in documents.html_blocks(page)] == [("title", 0, "T"), ("head", 1, "A b"), ("p", 0, "one"), ("p", 0, "two three"), ("li", 0, "i")]
     assert documents.html_blocks(None) == [] and documents.tei_blocks("<a") == [] and documents.tei_blocks(None) == []
+
+
+def test_numbered_ids_meet_no_pairs(spark):
+    rows, used = spark.range(40).selectExpr("format_string('n%02d', id) as name"), spark.range(100).where("id % 3 = 0 or id between 20 and 40").selectExpr("string(id) as paper_id")
+    taken, free, n = {i for i in range(100) if i % 3 == 0 or 20 <= i <= 40}, [], 1
+    while len(free) < 40:
+        free += [f"{n:03d}"] * (n not in taken)
+        n += 1
+    got = project.numbered_ids(rows, used, "name")
+    assert [r.paper_id for r in got.orderBy("name").collect()] == free
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
