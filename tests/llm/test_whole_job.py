@@ -1,6 +1,10 @@
 """Each operator does its whole job where a bound of its own used to cut it."""
 
 import gzip
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -85,3 +89,20 @@ def test_clustering_takes_few_logarithms_and_large_counts(monkeypatch):
     assert sizes.count(24 * 24) <= 2  # whole tables
     monkeypatch.setattr(class_lm, "KNOWN_LOGS", 16)
     assert (class_lm.exchange(pairs, 24) == want).all()
+
+
+def test_clustering_works_in_its_own_memory():
+    code = """
+import resource, numpy as np
+from corpusloom.llm import class_lm
+rng = np.random.default_rng(0)
+pairs = np.floor(rng.exponential(3, (400, 400)) * (rng.random((400, 400)) < 0.5))
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+before = faults()
+class_lm.exchange(pairs, 128)
+print(faults() - before)
+"""
+    # arrays from 64 KB on come from the system and go back to it, as they do where malloc's threshold does not adapt
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).parents[2]), "OMP_NUM_THREADS": "1", "MALLOC_MMAP_THRESHOLD_": "65536"}
+    found = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True)
+    assert int(found.stdout) < 20_000  # pages
