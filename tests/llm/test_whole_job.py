@@ -106,3 +106,17 @@ print(faults() - before)
     env = os.environ | {"PYTHONPATH": str(Path(__file__).parents[2]), "OMP_NUM_THREADS": "1", "MALLOC_MMAP_THRESHOLD_": "65536", "MALLOC_TRIM_THRESHOLD_": "1048576"}
     found = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True)
     assert int(found.stdout) < 200_000  # pages; numpy takes some by itself in some runs
+
+
+def test_clustering_takes_logarithms_for_few_classes(monkeypatch):
+    rng = np.random.default_rng(1)
+    topic = rng.integers(0, 12, 150)
+    pairs = np.floor(rng.exponential(20, (150, 150)) * (1 + 30 * (topic[:, None] == (topic + 1) % 12)) * (rng.random((150, 150)) < 0.4))
+    pairs[0, 0] = 0
+    cells, log = [], np.log
+    monkeypatch.setattr(class_lm, "KNOWN_LOGS", 0)
+    monkeypatch.setattr(np, "log", lambda x, **a: cells.append(x.size) or log(x, **a))
+    got, few = class_lm.exchange(pairs, 32), sum(cells)
+    monkeypatch.setattr(class_lm, "CHORD", 1e9, raising=False)  # all classes
+    assert (class_lm.exchange(pairs, 32) == got).all()
+    assert few < 0.6 * (sum(cells) - few)
